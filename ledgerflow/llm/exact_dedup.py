@@ -7,16 +7,19 @@ aggregation combines on the map side first: a group that holds a third of all
 rows reaches the shuffle as one row a task. Rows get their group back by a
 narrow join on the two digests, which AQE splits where one key is hot.
 
-Null text counts as empty; empty texts form one group. Repeated rows (also of
-one id) are members like any other; an empty table gives an empty result.
-Other columns are ignored, whatever their names.
+Null text counts as empty; empty texts form one group. Null ids come last.
+Repeated rows (also of one id) are members like any other, and those of the id
+that stays are all marked so; an empty table gives an empty result. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 SPACES = " \t\n\x0b\x0c\r"
 _ID_SPAN = "18446744073709551616"  # 2^64: ids fit below the length in one decimal
 _ID_MAX = "9223372036854775807"
@@ -53,6 +56,14 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
 
 def drop_exact_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of df that stay, with all their columns. Ids are taken to be unique here."""
-    keep = exact_groups(df, text, key).where("kept").select(key)
-    return df.join(keep, key, "left_semi").select(df.columns)
+    """The rows of df that stay, with all their columns: one row of each group, also where an id repeats."""
+    keep = written(exact_groups(df, text, key).where("kept").select(F.col(key).alias("_id"), F.col("text_sha256").alias("_sha")), "exact-kept")
+    repeated = keep.groupBy("_id", "_sha").count().where("count > 1").drop("count")
+    sha = F.sha2(normalised(text), 256)
+    same = F.col(key).cast("long").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    if repeated.isEmpty():
+        return df.join(keep, same, "left_semi")
+    size = F.char_length(F.coalesce(F.col(text), F.lit("")))
+    order = Window.partitionBy(F.col(key), sha).orderBy(size.desc(), F.col(text))
+    first = df.join(repeated, same, "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return df.join(keep, same, "left_semi").join(repeated, same, "left_anti").unionByName(first)

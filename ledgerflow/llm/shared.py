@@ -67,7 +67,7 @@ def mapped(df: DataFrame, function, schema: str) -> DataFrame:
 
     def run(batches):
         for out in function(batches):
-            yield pa.record_batch([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
+            yield pa.record_batch([v if isinstance(v := out[f.name], pa.Array) and v.type == f.type else pa.array(v, f.type) for f in kinds], schema=kinds)
 
     return df.mapInArrow(run, schema)
 
@@ -82,3 +82,14 @@ def small_batches(batches, rows: int = 512) -> Iterator:
 def crc_bucket(column: str):
     """crc32 of the id as text, modulo 4: rows where it is 2 are held out from every model."""
     return F.crc32(F.col(column).cast("string")) % 4
+
+
+_kept: dict[str, object] = {}
+
+
+def kept(token: str, make):
+    """The object of that token, made once a Python process; those live across tasks. Only the last one is held."""
+    if token not in _kept:
+        _kept.clear()
+        _kept[token] = make()
+    return _kept[token]
