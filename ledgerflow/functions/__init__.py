@@ -1 +1 @@
-
+"""Column expressions and small driver-side functions."""

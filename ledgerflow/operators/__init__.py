@@ -1 +1 @@
-
+"""DataFrame operators over transactions, graphs, features and scores."""

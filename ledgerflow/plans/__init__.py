@@ -1 +1 @@
-
+"""Whole plans: features, workflow, reports and the registered queries."""

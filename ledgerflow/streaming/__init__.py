@@ -1 +1 @@
-
+"""The batch cleaning plan over arriving files."""
