@@ -87,7 +87,7 @@ DIRTY = """dirty as (select tx_id, case when tx_id % 28 = 0 then null when tx_id
   case when tx_id % 20 = 0 then 'nan' else from_account end as from_account,
   case when tx_id % 44 = 0 or tx_id % 52 = 0 then 0.0 else amount_received end as r, case when tx_id % 12 <> 0 then amount_paid end as p,
   case when tx_id % 36 = 0 or tx_id % 32 = 0 or tx_id % 16 = 0 then 0 else is_laundering end::int as is_laundering from tx), kept as (select * from dirty where timestamp is not null)"""
-LONG = f"long as (select account, feature, value from (select account, {', '.join(f'round({c}::double, 6) as {c}' for c in EXPLAINED)} from features) unpivot (value for feature in ({', '.join(EXPLAINED)})))"
+LONG = f"long as (select account, feature, value from (select account, {', '.join(f'round({c}::double + 1e-9, 6) as {c}' for c in EXPLAINED)} from features) unpivot (value for feature in ({', '.join(EXPLAINED)})))"
 MAD = """mid as (select feature, median(value) as median from long group by feature),
   mad as (select feature, any_value(mid.median) as median, median(abs(value - mid.median)) as m from long join mid using (feature) group by feature),
   devs as (select feature, median, case when m = 0 then 1e-9 else m end as mad from mad)"""
@@ -150,7 +150,7 @@ ORACLES = {
     "confusion_matrix": _with("select tn, fp, fn, tp from conf", *SCORES, CONF),
     "roc_auc": _with(f"select round({_AUC}, 6) as roc_auc from c", *SCORES, BY_SCORE),
     "average_precision": _with(f"select round({_AP}, 6) as average_precision from c", *SCORES, BY_SCORE),
-    "feature_mad": _with("select feature, round(median, 6) as median, case when mad = 1e-9 then 0.0 else round(mad, 6) end as mad from devs", *FLOW, LONG, MAD),
+    "feature_mad": _with(f"select feature, {_r('median')}, {_r('mad')} from devs", *FLOW, LONG, MAD),
     "explain_mad": _with("select account, rank::int as rank, feature, direction, round(deviation, 4) as deviation from ranked where rank <= 3", *FLOW, LONG, MAD, RANKED),
     "reason_text": _with(f"select account, concat({_PHRASE}, ' (', direction, ' than the portfolio median)') as reason from ranked where rank = 1", *FLOW, LONG, MAD, RANKED),
 }
