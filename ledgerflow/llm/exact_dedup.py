@@ -57,13 +57,13 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
 def drop_exact_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of df that stay, with all their columns: one row of each group, also where an id repeats."""
-    keep = written(exact_groups(df, text, key).where("kept").select(F.col(key).alias("_id"), F.col("text_sha256").alias("_sha")), "exact-kept")
-    repeated = keep.groupBy("_id", "_sha").count().where("count > 1").drop("count")
+    keep = written(exact_groups(df, text, key).where("kept").select(F.col(key).alias("__kept_id"), F.col("text_sha256").alias("__kept_sha")), "exact-kept")
+    repeated = keep.groupBy("__kept_id", "__kept_sha").count().where("count > 1").drop("count")
     sha = F.sha2(normalised(text), 256)
-    same = F.col(key).cast("long").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    same = F.col(key).cast("long").eqNullSafe(F.col("__kept_id")) & (sha == F.col("__kept_sha"))
     if repeated.isEmpty():
         return df.join(keep, same, "left_semi")
     size = F.char_length(F.coalesce(F.col(text), F.lit("")))
     order = Window.partitionBy(F.col(key), sha).orderBy(size.desc(), F.col(text))
-    first = df.join(repeated, same, "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    first = df.join(repeated, same, "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
     return df.join(keep, same, "left_semi").join(repeated, same, "left_anti").unionByName(first)

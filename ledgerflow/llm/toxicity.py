@@ -228,7 +228,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
             yield {"x": [own.row(t) for t in batch.column(0).to_pylist()], "y": batch.column(1), "fold": batch.column(2)}
 
     rows = mapped(sample.where("_fold >= 4").select("_text", F.least(F.greatest(F.col("_grade").cast("int"), F.lit(0)), F.lit(1)), "_fold"), features, "x array<double>, y int, fold int").toPandas()
-    x = np.array(rows["x"].tolist()).reshape(len(rows), -1)
+    x = np.array(rows["x"].tolist()).reshape(len(rows), len(Features.NAMES))
     y, fold = rows["y"].to_numpy(float), rows["fold"].to_numpy()
     # Trees of one half calibrate on the other, and the other way round; then all rows teach the trees that score.
     points = ([], [])
@@ -249,7 +249,7 @@ def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id")
         model = shared.value
         own = kept(token, lambda: Features(model.words, model.stems))
         for batch in small_batches(batches):
-            x = np.array([own.row(t) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, -1)
+            x = np.array([own.row(t) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, len(Features.NAMES))
             yield {"_id": batch.column(0), "score": model.score(x)}
 
     rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
