@@ -132,7 +132,7 @@ def dependencies_distributed(e: DataFrame) -> DataFrame:
     return out.groupBy("account").agg(F.sum("dependency").alias("dependency"))
 
 
-def betweenness(e: DataFrame, order: DataFrame, exact_up_to: int = 1000, pivots: int = 200, seed: int = 42, task_edges: int = TASK_EDGES) -> DataFrame:
+def betweenness(e: DataFrame, order: DataFrame, exact_up_to: int = 1000, pivots: int = 200, seed: int = 42, task_edges: int = TASK_EDGES, parts: DataFrame | None = None) -> DataFrame:
     """account, betweenness_centrality of the directed unweighted graph, normalised. order: account, node_idx; above exact_up_to nodes only sampled sources count, scaled up."""
     n = order.count()
     chosen = pivot_positions(n, exact_up_to, pivots, seed)
@@ -141,7 +141,7 @@ def betweenness(e: DataFrame, order: DataFrame, exact_up_to: int = 1000, pivots:
     else:
         wanted = order.where(F.col("node_idx").isin(chosen)).select(F.col("account").alias("src"), F.lit(True).alias("pivot"))
         flagged = e.select("src", "dst").join(F.broadcast(wanted), "src", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
-    small, large = by_parts(flagged, _dependencies, "account string, dependency double", task_edges, ["pivot"])
+    small, large = by_parts(flagged, _dependencies, "account string, dependency double", task_edges, ["pivot"], parts)
     found = small if large is None else small.unionByName(dependencies_distributed(large))
     scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * (n / len(chosen) if chosen else 1.0)
     return order.select("account").join(found, "account", "left").select("account", (F.coalesce("dependency", F.lit(0.0)) * scale).alias("betweenness_centrality"))

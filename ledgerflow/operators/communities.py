@@ -83,7 +83,7 @@ def propagate_distributed(e: DataFrame, rounds: int = 1000) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def community_sizes(e: DataFrame, order: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+def community_sizes(e: DataFrame, order: DataFrame, task_edges: int = TASK_EDGES, parts: DataFrame | None = None) -> DataFrame:
     """account, community_size. order: account, node_idx."""
     idx = lambda c, i: order.select(F.col("account").alias(c), F.col("node_idx").alias(i))
     rows = e.select("src", "dst").join(idx("src", "si"), "src").join(idx("dst", "di"), "dst")
@@ -92,7 +92,7 @@ def community_sizes(e: DataFrame, order: DataFrame, task_edges: int = TASK_EDGES
         found = propagate(zip(p["si"].tolist(), p["di"].tolist()))
         return pd.DataFrame({"idx": list(found), "label": list(found.values())})
 
-    small, large = by_parts(rows, run, "idx long, label long", task_edges, ["si", "di"])
+    small, large = by_parts(rows, run, "idx long, label long", task_edges, ["si", "di"], parts)
     labels = written(small if large is None else small.unionByName(propagate_distributed(large)), "communities")
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("community_size"))
     return labels.join(sizes, "label").join(order.withColumnRenamed("node_idx", "idx"), "idx").select("account", "community_size")

@@ -41,14 +41,14 @@ def weak_components(e: DataFrame, rounds: int = 50) -> DataFrame:
     return nodes.join(links.select(F.col("a").alias("account"), F.col("b").alias("component")), "account", "left").withColumn("component", F.coalesce("component", "account"))
 
 
-def by_parts(e: DataFrame, function, schema: str, task_edges: int = TASK_EDGES, extra: list[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
+def by_parts(e: DataFrame, function, schema: str, task_edges: int = TASK_EDGES, extra: list[str] | None = None, parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Run function(edges as pandas) over groups of whole weak components, each of at most about task_edges edges.
 
-    Returns the result and the edges of components over that size (null where
+    parts: the weak components, where they are known already. Returns the result and the edges of components over that size (null where
     there are none), which need a distributed algorithm.
     """
     extra = extra or []
-    parts = weak_components(e)
+    parts = weak_components(e) if parts is None else parts
     rows = written(e.select("src", "dst", *extra).join(parts.withColumnRenamed("account", "src"), "src"), "component-edges")
     sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
     total, most = sizes.agg(F.sum("_size"), F.max("_size")).first()
@@ -144,13 +144,13 @@ def strong_components_distributed(e: DataFrame, rounds: int = 100_000) -> DataFr
     return done if done is not None else nodes.withColumn("component_size", F.lit(1).cast("long"))
 
 
-def short_cycle_scores(e: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+def short_cycle_scores(e: DataFrame, task_edges: int = TASK_EDGES, parts: DataFrame | None = None) -> DataFrame:
     """account, short_cycle_score: the size of the strongly connected component less one."""
 
     def sizes(p: pd.DataFrame) -> pd.DataFrame:
         found = strong_sizes(p["src"], p["dst"])
         return pd.DataFrame({"account": list(found), "component_size": list(found.values())})
 
-    small, large = by_parts(e, sizes, "account string, component_size long", task_edges)
+    small, large = by_parts(e, sizes, "account string, component_size long", task_edges, parts=parts)
     out = small if large is None else small.unionByName(strong_components_distributed(large))
     return out.select("account", (F.col("component_size") - 1).cast("double").alias("short_cycle_score"))

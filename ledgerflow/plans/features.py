@@ -17,12 +17,13 @@ def account_features(tx: DataFrame, config: Config = Config()) -> DataFrame:
         return tx.sparkSession.createDataFrame([], FEATURES)
     e = written(graph.edges(tx), "edges")
     order = written(graph.node_order(tx), "node-order")
+    parts = written(components.weak_components(e), "weak-components")
     out = (
         flows.tabular_features(tx, config.temporal_window_days)
         .join(graph.neighbourhoods(e, order, config.density_cutoff), "account")
         .join(centrality.eigenvector(e, config.eigenvector_rounds, config.eigenvector_tolerance, config.task_edges), "account")
-        .join(centrality.betweenness(e, order, config.exact_betweenness_nodes, config.betweenness_pivots, config.random_state, config.task_edges), "account")
-        .join(components.short_cycle_scores(e, config.task_edges), "account")
-        .join(communities.community_sizes(e, order, config.task_edges), "account")
+        .join(centrality.betweenness(e, order, config.exact_betweenness_nodes, config.betweenness_pivots, config.random_state, config.task_edges, parts), "account")
+        .join(components.short_cycle_scores(e, config.task_edges, parts), "account")
+        .join(communities.community_sizes(e, order, config.task_edges, parts), "account")
     )
     return out.select(*[F.coalesce(F.col(f.name).cast(f.dataType), F.lit(0).cast(f.dataType)).alias(f.name) if f.name != "account" else F.col("account") for f in FEATURES])
