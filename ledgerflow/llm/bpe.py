@@ -15,7 +15,6 @@ are encoded whole. Repeated rows and ids are encoded like any other.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -23,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import PieceStore
-from .shared import mapped, small_batches
+from .shared import kept, mapped, small_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _NONE = np.int64(2**62)
 SHORT = 32
+STORE = 300_000  # pieces a generation: a Python worker stays near 300 MB
 
 
 class RankTable:
@@ -173,11 +173,14 @@ def encode_pieces(pieces: list[str], table: RankTable) -> list[bytes]:
     return out.tolist()
 
 
-@lru_cache(2)
 def codec(path: str, pattern: str) -> tuple[RankTable, PieceStore]:
-    """A process's table and piece store; Python workers live across tasks."""
-    table = RankTable(path)
-    return table, PieceStore(pattern, lambda pieces: encode_pieces(pieces, table))
+    """A process's table and piece store."""
+
+    def make():
+        table = RankTable(path)
+        return table, PieceStore(pattern, lambda pieces: encode_pieces(pieces, table), STORE)
+
+    return kept(f"bpe {path} {pattern}", make)
 
 
 def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, pattern: str = public_tokenizers.PATTERN, decoded: bool = False) -> DataFrame:

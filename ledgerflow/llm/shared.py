@@ -6,6 +6,7 @@ not a recomputation of everything before.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,11 +59,22 @@ def put_file(uri: str, chunks: Iterator[bytes]) -> int:
     return size
 
 
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def small_transfers(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes: texts are long, and each batch is held by the JVM and by Python at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def mapped(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with batches of a few rows' text: function gets pyarrow record batches and yields dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    small_transfers(df.sparkSession)
     kinds = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
@@ -88,8 +100,10 @@ _kept: dict[str, object] = {}
 
 
 def kept(token: str, make):
-    """The object of that token, made once a Python process; those live across tasks. Only the last one is held."""
+    """The object of that token, made once a Python process; those live across tasks and stages, so only the last one is held and its memory given back."""
     if token not in _kept:
         _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _kept[token] = make()
     return _kept[token]

@@ -22,7 +22,6 @@ from __future__ import annotations
 import json
 import os
 import struct
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import PieceStore
-from .shared import file_system, mapped, new_folder, put_file, small_batches
+from .shared import file_system, kept, mapped, new_folder, put_file, small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 FRAME = 1 << 18
@@ -41,20 +40,22 @@ LEVEL = 1
 SEEK_MAGIC, SKIP_SEEK, SKIP_INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 
 
-@lru_cache(2)
 def _store(path: str) -> tuple[PieceStore, int]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
-    from tokenizers import Tokenizer
+    def make():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
 
-    def encode(pieces: list[str]):
-        for s in range(0, len(pieces), 20_000):
-            for e in tokenizer.encode_batch_fast(pieces[s : s + 20_000], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+        def encode(pieces: list[str]):
+            for s in range(0, len(pieces), 20_000):
+                for e in tokenizer.encode_batch_fast(pieces[s : s + 20_000], add_special_tokens=False):
+                    yield np.array(e.ids, "<u4").tobytes()
 
-    return PieceStore(public_tokenizers.PATTERN, encode), tokenizer.get_vocab_size()
+        return PieceStore(public_tokenizers.PATTERN, encode), tokenizer.get_vocab_size()
+
+    return kept(f"tokens {path}", make)
 
 
 # ---- one file
