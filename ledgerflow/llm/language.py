@@ -23,6 +23,7 @@ import uuid
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from .shared import crc_bucket, kept, mapped, small_batches
 VOCABULARY = "piece_bpe_32k.model"
 DOCUMENTS, WORDS, ROUNDS = 2000, 6000, 2
 UNKNOWN = 1e-7
+SHORT = 40  # letters up to which a word's likelihood cannot underflow
 SHARPNESS = 20.0
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -129,31 +131,78 @@ class Model:
 class Scorer:
     """A process's view of a model, with a bounded store of word scores."""
 
-    def __init__(self, model: Model, pieces: dict[str, int], most: int = 400_000):
-        self.model, self.pieces, self.most = model, pieces, most
-        self.known: dict[str, list[float]] = {}
-
-    def score(self, text: str | None) -> tuple[str, float]:
+    def __init__(self, model: Model, pieces: dict[str, int], most: int = 500_000):
+        self.model, self.most = model, most
+        self.pieces = {w: p for w, p in pieces.items() if p in model.chances}
+        self.longest = max(map(len, self.pieces), default=1)
+        self.prefixes = {w[:n] for w in self.pieces for n in range(1, len(w))}
+        self.chance = np.zeros((max(pieces.values(), default=0) + 1, max(1, len(model.languages))))
+        for p, c in model.chances.items():
+            self.chance[p] = c
+        self.clear()
+
+    def clear(self):
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((1024, self.chance.shape[1]))
+
+    def learn(self, new: list[str]) -> None:
+        """Run the forward algorithm for new words, all of a length at most SHORT together, position by position."""
+        k = self.chance.shape[1]
+        while len(self.scores) < len(self.known) + len(new):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        first = len(self.known)
+        self.known.update(zip(new, range(first, first + len(new))))
+        out = self.scores[first : first + len(new)]
+        pieces, prefixes = self.pieces, self.prefixes
+        for low in range(0, len(new), 8192):
+            block = new[low : low + 8192]
+            width = min(SHORT, max(map(len, block))) + 1
+            hits: list[list[int]] = [[] for _ in range(width + 1)]  # word, start and piece, flat
+            short = []
+            for at, word in enumerate(block):
+                if len(word) > SHORT:
+                    out[low + at] = forward(word, self.pieces, self.longest, self.model.chances, k)
+                    continue
+                short.append(at)
+                word = "▁" + word
+                n = len(word)
+                for i in range(n):
+                    for j in range(i + 1, n + 1):
+                        part = word[i:j]
+                        if (p := pieces.get(part)) is not None:
+                            hits[j] += (at, i, p)
+                        if part not in prefixes:
+                            break
+            alpha = np.zeros((len(block), width + 1, k))
+            alpha[:, 0] = 1.0
+            for j in range(1, width + 1):
+                alpha[:, j] = UNKNOWN * alpha[:, j - 1]
+                if hits[j]:
+                    w, i, p = np.array(hits[j]).reshape(-1, 3).T  # in order of words
+                    starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                    alpha[w[starts], j] += np.add.reduceat(alpha[w, i] * self.chance[p], starts, axis=0)
+            ends = np.array([len(block[at]) + 1 for at in short], int)
+            out[low + np.array(short, int)] = np.log(np.maximum(alpha[short, ends], 1e-300))
+
+    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         m = self.model
-        counts = Counter(words(text))
-        if not counts or not m.languages:
-            return "und", 0.0
+        tokens = [words(t) for t in texts]
+        if not m.languages:
+            return [("und", 0.0)] * len(texts)
         if len(self.known) > self.most:
-            self.known = {}
-        known, k = self.known, len(m.languages)
-        totals, n = [0.0] * k, 0
-        for w, c in counts.items():
-            if (s := known.get(w)) is None:
-                s = forward(w, self.pieces, m.longest, m.chances, k)
-                if len(w) <= 64:
-                    known[w] = s
-            totals = [t + c * x for t, x in zip(totals, s)]
-            n += c
-        totals = [t + p for t, p in zip(totals, m.prior)]
-        best = max(range(k), key=lambda i: (totals[i], -i))
-        heat = max(1.0, n / SHARPNESS)
-        weights = [math.exp((t - totals[best]) / heat) for t in totals]
-        return m.languages[best], 1.0 / sum(weights)
+            self.clear()
+        new = list(set().union(*tokens).difference(self.known))
+        if new:
+            self.learn(new)
+        known, out = self.known.__getitem__, []
+        for t in tokens:
+            if not t:
+                out.append(("und", 0.0))
+                continue
+            totals = self.scores[np.fromiter(map(known, t), np.int64, len(t))].sum(0) + m.prior
+            best = int(totals.argmax())
+            out.append((m.languages[best], float(1.0 / np.exp((totals - totals[best]) / max(1.0, len(t) / SHARPNESS)).sum())))
+        return out
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", path: str | None = None, documents: int = DOCUMENTS, most_words: int = WORDS) -> Model:
@@ -192,7 +241,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     def run(batches):
         scorer = kept(token, lambda: Scorer(shared.value, vocabulary(name)))
         for batch in small_batches(batches):
-            out = [scorer.score(t) for t in batch.column(1).to_pylist()]
+            out = scorer.score(batch.column(1).to_pylist())
             yield {"_id": batch.column(0), "lang_pred": [x for x, _ in out], "score": [x for _, x in out]}
 
     rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
