@@ -36,7 +36,8 @@ from .shared import mapped, small_batches, written
 
 SAMPLE = 4096
 BUCKET = 50_000
-SIGNATURE_COST = 300.0  # one shuffled signature row against one verified pair
+SIGNATURE_COST = 1000.0  # one signature row, made, shuffled, sorted and stored, against one verified pair
+PAIRS = 1 << 20  # pairs verified at once
 
 
 # ---- fingerprints
@@ -188,19 +189,21 @@ def bucket_links(group: np.ndarray, own: np.ndarray, f: np.ndarray, ids: np.ndar
         a.append(ids[idx[ok]])
         b.append(ids[idx[ok] + k])
     for s, e in zip(starts[(size > 32) & (owned > 0)], ends[(size > 32) & (owned > 0)]):
-        rows = np.arange(s, e)
-        mine = rows[own[s:e]]
-        hits = 0
-        pairs = []
-        if len(mine) * len(rows) <= 4_000_000:
-            ok = _near(f[mine][:, None, :], f[rows][None, :, :], bits, total)
-            hits = int(ok.sum()) - len(mine)
-            if hits <= 4 * len(rows):
-                pairs = [(mine[x], rows[y]) for x, y in zip(*np.nonzero(ok)) if mine[x] != rows[y]]
-        if not pairs and (hits or len(mine) * len(rows) > 4_000_000):
-            pairs = [(s + x, s + y) for x, y in forest(f[s:e], bits, total)]
-        if pairs:
-            x, y = np.array(pairs).T
+        # Own values first: a block of them is held against all rows behind its start.
+        rows = s + np.argsort(~own[s:e], kind="stable")
+        mine, g, pairs, hits = int(own[s:e].sum()), f[rows], [], 0
+        step = max(1, PAIRS // len(rows))
+        for low in range(0, mine, step):
+            x, y = np.nonzero(np.bitwise_count(g[low : min(mine, low + step), None, 0] ^ g[None, low:, 0]) <= bits)
+            x, y = x[x < y] + low, y[x < y] + low
+            ok = _near(g[x], g[y], bits, total)
+            pairs.append((rows[x[ok]], rows[y[ok]]))
+            hits += int(ok.sum())
+            if hits > 4 * len(rows):  # dense: a spanning forest says the same in fewer links
+                x, y = np.array(forest(g, bits, total)).T
+                pairs = [(rows[x], rows[y])]
+                break
+        for x, y in pairs:
             a.append(ids[x])
             b.append(ids[y])
     none = np.zeros(0, np.int64)
