@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import mapped, small_batches, written
+from .shingle_join import near_components
 
 SAMPLE = 4096
 BUCKET = 50_000
@@ -353,8 +354,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     return out.select(key, *names, "component_id")
 
 
-def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, most_bits: int = 10, most_total: int = 20) -> DataFrame:
-    """The rows of df with one document of each group left: the one with the least id. A group is a component of links between texts whose 128 bits (two seeds) differ in at most most_total, with at most most_bits in the first 64."""
-    near = near_duplicates(df, text, key, words, most_bits, (42, 43), most_total)
-    gone = near.where(F.col(key) != F.col("component_id")).select(key)
+def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5) -> DataFrame:
+    """The rows of df with one document of each group left: the one with the least id. A group is a component of links between texts whose word shingles have a Jaccard similarity of 0.8 or more, decided on the shingles: fingerprints only estimate it."""
+    gone = near_components(df, text, key, words).where("node <> component").select(F.col("node").alias(key))
     return df.join(gone, key, "left_anti").select(df.columns)
