@@ -15,7 +15,7 @@ from (select *, case
         when o_orderkey % 40 = 0 then o_custkey
         when o_orderkey % 3 = 0 then (o_custkey - o_custkey % 50) + (o_orderkey * 7) % 50
         else (o_custkey - o_custkey % 50) + greatest(o_custkey % 50 - 1 - o_orderkey % 5, 0) end as to_key
-      from {orders} where o_orderkey % 4 = 0) o
+      from {orders}) o
 join {customer} cf on cf.c_custkey = o.o_custkey
 join {customer} ct on ct.c_custkey = o.to_key
 """
