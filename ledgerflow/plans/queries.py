@@ -217,9 +217,10 @@ def betweenness(spark, sf_dir):
 
 
 def betweenness_exact(spark, sf_dir):
-    """All sources, over the accounts whose number is below 500: whole blocks of the view."""
-    tx = _tx(spark, sf_dir).where("cast(substring(from_account, 2) as bigint) < 500")
-    return tidy(centrality.betweenness(graph.edges(tx), written(graph.node_order(tx), "order")))
+    """All accounts are sources, whatever their number."""
+    tx = _tx(spark, sf_dir)
+    order = written(graph.node_order(tx), "order")
+    return tidy(centrality.betweenness(graph.edges(tx), order, exact_up_to=order.count()))
 
 
 def community_size(spark, sf_dir):
