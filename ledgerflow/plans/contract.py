@@ -75,7 +75,7 @@ class Config:
     supervised_weight: float = 0.80
     decision_threshold: float = 0.5
     least_training_rows: int = 10
-    boosting_rounds: int = 100
+    boosting_rounds: int = 300
     boosting_depth: int = 6
     boosting_step: float = 0.05
     isolation_trees: int = 300

@@ -15,8 +15,7 @@ from .contract import Config
 from .features import account_features
 
 POWER_ROUNDS = 4
-#: Small models: the model queries show the plan, not a tuned fit.
-MODEL = Config(boosting_rounds=10, boosting_depth=4, isolation_trees=100)
+MODEL = Config()
 
 
 def tidy(df: DataFrame) -> DataFrame:
