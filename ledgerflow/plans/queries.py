@@ -326,7 +326,7 @@ def model_metrics(spark, sf_dir):
 
 def explain_shap(spark, sf_dir):
     r = _run(spark, sf_dir)
-    return tidy(explain.explain_shap(r.features, r.artifacts, reports.alert_feed(r.scored, rows=25)))
+    return tidy(explain.explain_shap(r.features, r.artifacts))
 
 
 QUERIES = {
