@@ -43,15 +43,23 @@ class PieceStore:
         self.old: dict[str, bytes] = {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        cut = list(map(self.cut, texts))
+        """The ids of each text. A piece is looked up once; only texts with new pieces are gone through again."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        wanted = set().union(*cut).difference(self.young)
-        if wanted:
-            kept = wanted.intersection(self.old)
+        get, out, again = self.young.get, [], []
+        for k, c in enumerate(map(self.cut, texts)):
+            found = list(map(get, c))
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # a piece that is not in the store
+                out.append(b"")
+                again.append((k, c, found))
+        if again:
+            missing = {p for _, c, found in again for p, x in zip(c, found) if x is None}
+            kept = missing.intersection(self.old)
             self.young.update(zip(kept, map(self.old.__getitem__, kept)))
-            new = list(wanted.difference(kept))
+            new = list(missing.difference(kept))
             self.young.update(zip(new, self.encode(new)))
-        piece = self.young.__getitem__
-        return [b"".join(map(piece, c)) for c in cut]
+            for k, c, found in again:
+                out[k] = b"".join([get(p) if x is None else x for p, x in zip(c, found)])
+        return out

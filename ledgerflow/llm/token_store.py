@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+from bisect import bisect_left
 
 import numpy as np
 import public_tokenizers
@@ -36,26 +37,51 @@ from .shared import file_system, kept, mapped, new_folder, put_file, small_batch
 
 VOCABULARY = "byte_bpe_50k.json"
 FRAME = 1 << 18
+FILE_BYTES = 256 << 20  # input bytes a file, about
 LEVEL = 1
 SEEK_MAGIC, SKIP_SEEK, SKIP_INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 
 
-def _store(path: str) -> tuple[PieceStore, int]:
-    def make():
+class Encoder:
+    """A process's tokenizer. texts gives the ids of each text as bytes of width bytes an id."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
-
-        def encode(pieces: list[str]):
-            for s in range(0, len(pieces), 20_000):
-                for e in tokenizer.encode_batch_fast(pieces[s : s + 20_000], add_special_tokens=False):
-                    yield np.array(e.ids, "<u4").tobytes()
-
-        return PieceStore(public_tokenizers.PATTERN, encode), tokenizer.get_vocab_size()
-
-    return kept(f"tokens {path}", make)
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
+        self.added = [t["content"] for t in kind["added_tokens"]]
+        before = kind["pre_tokenizer"] or {}
+        self.by_pieces = kind["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        # The byte-level alphabet: a printable Latin-1 byte is itself, the others are the code points from 256 on, in order.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+        self.store = PieceStore(public_tokenizers.PATTERN, self._encode_pieces)
+
+    def _encode_pieces(self, pieces: list[str]):
+        """The library's model on single pieces, which are spelt in the byte-level alphabet as its pre-tokenizer spells them."""
+        model, alphabet, width = self.tokenizer.model.tokenize, self.alphabet, self.width
+        for p in pieces:
+            yield b"".join([t.id.to_bytes(width, "little") for t in model(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(alphabet))])
+
+    def _encode(self, texts: list[str]):
+        kind = f"<u{self.width}"
+        for s in range(0, len(texts), 20_000):
+            for e in self.tokenizer.encode_batch_fast(texts[s : s + 20_000], add_special_tokens=False):
+                yield np.array(e.ids, kind).tobytes()
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        whole = [k for k, t in enumerate(texts) if not self.by_pieces or any(x in t for x in self.added)]
+        if not whole:
+            return self.store.texts(texts)
+        asked = set(whole)
+        out = self.store.texts(["" if k in asked else t for k, t in enumerate(texts)])
+        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
+            out[k] = ids
+        return out
 
 
 # ---- one file
@@ -71,9 +97,13 @@ class FrameWriter:
         self.compressor = zstandard.ZstdCompressor(level=LEVEL)
 
     def add(self, doc, ids: np.ndarray):
+        return self.add_raw(doc, ids.astype(f"<u{self.width}").tobytes())
+
+    def add_raw(self, doc, ids: bytes):
+        """ids: width bytes each."""
         self.ids.append(doc)
-        self.counts.append(len(ids))
-        self.buffer += ids.astype(f"<u{self.width}").tobytes()
+        self.counts.append(len(ids) // self.width)
+        self.buffer += ids
         while len(self.buffer) >= FRAME:
             yield self._frame(bytes(self.buffer[:FRAME]))
             del self.buffer[:FRAME]
@@ -149,33 +179,35 @@ def write_tokens(df: DataFrame, text: str = "text", key: str = "doc_id", path: s
     spark = df.sparkSession
     vocabulary = path or public_tokenizers.path(VOCABULARY)
     out = folder or new_folder(spark, "tokens")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_hash"))
+    files = files or _files(rows)
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        store, words = _store(vocabulary)
-        writer = FrameWriter(2 if words <= 65536 and end_id < 65536 else 4)
-        total = [0]
+        encoder = kept(f"tokens {vocabulary}", lambda: Encoder(vocabulary))
+        width = encoder.width if end_id < 65536 else 4
+        writer, end = FrameWriter(width), np.array([end_id], f"<u{width}").tobytes()
 
         def chunks():
             for batch in batches:
                 for piece in small_batches([batch], 256):
-                    texts = store.texts([t or "" for t in piece.column(1).to_pylist()])
+                    texts = encoder.texts([t or "" for t in piece.column(1).to_pylist()])
+                    if width != encoder.width:
+                        texts = [np.frombuffer(x, f"<u{encoder.width}").astype(f"<u{width}").tobytes() for x in texts]
                     for doc, ids in zip(piece.column(0).to_pylist(), texts):
-                        ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
-                        total[0] += len(ids)
-                        yield from writer.add(doc, ids)
+                        yield from writer.add_raw(doc, ids + end)
             yield from writer.end()
 
         name = f"part-{part:06d}.ids.zst"
         size = put_file(f"{out}/{name}", chunks())
-        yield {"file": [name], "part": [part], "documents": [len(writer.ids)], "tokens": [total[0]], "bytes": [size]}
+        ids = writer.ids or [None]
+        yield {"file": [name], "part": [part], "documents": [len(writer.ids)], "tokens": [sum(writer.counts)], "bytes": [size], "first": [ids[0]], "last": [ids[-1]]}
 
-    rows = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    ordered = rows.repartitionByRange(files, "_id").sortWithinPartitions("_id", F.xxhash64("_text"))
-    parts = sorted(mapped(ordered, run, "file string, part int, documents long, tokens long, bytes long").collect(), key=lambda r: r["part"])
+    ordered = rows.repartitionByRange(files, "_id", "_hash").sortWithinPartitions("_id", "_hash")  # an id of many rows is many tasks' work
+    schema = "file string, part int, documents long, tokens long, bytes long, first long, last long"
+    parts = sorted(mapped(ordered, run, schema).collect(), key=lambda r: r["part"])
     position, manifest = 0, []
     for r in parts:
         manifest.append(r.asDict() | {"start": position})
@@ -184,6 +216,12 @@ def write_tokens(df: DataFrame, text: str = "text", key: str = "doc_id", path: s
     return out
 
 
+def _files(rows: DataFrame) -> int:
+    """One file a shuffle partition, or more where the input is estimated to hold over FILE_BYTES a file; no estimate counts as small."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // FILE_BYTES if size < 1 << 60 else 0)
+
+
 def read_tokens(spark: SparkSession, folder: str, wanted: list[int] | None = None) -> DataFrame:
     """(doc_id, start, ids): every document of the folder, or those with wanted ids only; ids as little-endian unsigned 32-bit binary, start the number of ids before the document in the whole folder."""
     where, path = file_system(folder)
@@ -191,6 +229,7 @@ def read_tokens(spark: SparkSession, folder: str, wanted: list[int] | None = Non
         files = json.loads(f.read())["files"]
     if wanted is not None:
         wanted = sorted(set(wanted))
+        files = [f for f in files if f["last"] is not None and (k := bisect_left(wanted, -(2**63) if f["first"] is None else f["first"])) < len(wanted) and wanted[k] <= f["last"]]
 
     def run(batches):
         for batch in batches:

@@ -65,25 +65,57 @@ def test_bpe_random_texts():
 # ---- token store
 
 
+MARK = "<|endoftext|>"
+
+
 def test_token_store(spark, odd, none):
+    """Against an unmodified tokenizer, also where a text spells the added token."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    folder = token_store.write_tokens(odd, files=3)
+    marked = [f"{MARK} a", f"a {MARK} b", f"a b{MARK}", MARK, MARK * 2, f" {MARK}\n{MARK} ", "<|endoftext", "a <|EndOfText|>"]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + k, t) for k, t in enumerate(marked)], "doc_id long, text string"))
+    folder = token_store.write_tokens(docs, files=3)
     out = sorted(token_store.read_tokens(spark, folder).collect(), key=lambda r: r["start"])
-    assert [r["doc_id"] for r in out] == sorted((r["doc_id"] for r in odd.collect()), key=lambda i: (i is not None, i))
+    assert [r["doc_id"] for r in out] == sorted((r["doc_id"] for r in docs.collect()), key=lambda i: (i is not None, i))
     at = 0
-    want = sorted((r["doc_id"] if r["doc_id"] is not None else -1, [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0]) for r in odd.collect())
+    want = sorted((r["doc_id"] if r["doc_id"] is not None else -1, [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0]) for r in docs.collect())
+    assert sum(50256 in ids for _, ids in want) == 6
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, np.frombuffer(r["ids"], "<u4").tolist()) for r in out) == want
     for r in out:
         assert r["start"] == at
         at += len(r["ids"]) // 4
-    some = token_store.read_tokens(spark, folder, [9, 7]).collect()
+    some = token_store.read_tokens(spark, folder, [9, 7, 50]).collect()
     assert {r["doc_id"] for r in some} == {7, 9}
+    wide = token_store.read_tokens(spark, token_store.write_tokens(docs.limit(3), end_id=70_000)).collect()
+    assert all(np.frombuffer(r["ids"], "<u4")[-1] == 70_000 for r in wide)
     assert token_store.read_tokens(spark, token_store.write_tokens(none, files=3)).count() == 0
 
 
+def test_one_id_of_many_rows(spark):
+    """Rows of one id are dealt to several files, and every document comes back whole."""
+    rows = [(7, f"text {k} " + "word " * (k % 5)) for k in range(300)]
+    folder = token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), files=4)
+    out = sorted(token_store.read_tokens(spark, folder).collect(), key=lambda r: r["start"])
+    plain = tiktoken_encoding()
+    assert sorted(np.frombuffer(r["ids"], "<u4").tolist() for r in out) == sorted([*plain.encode_ordinary(t), 0] for _, t in rows)
+    assert [r["start"] for r in out] == np.cumsum([0, *(len(r["ids"]) // 4 for r in out[:-1])]).tolist()
+    assert len(token_store.read_tokens(spark, folder, [7]).collect()) == 300 and token_store.read_tokens(spark, folder, [6, 8]).count() == 0
+
+
+def test_piece_store_generations():
+    """A store that forgets gives the same ids."""
+    from ledgerflow.llm.pieces import PieceStore
+
+    seen = []
+    store = PieceStore(public_tokenizers.PATTERN, lambda pieces: (seen.append(len(pieces)), [p.encode() for p in pieces])[1], most=5)
+    texts = ["a b c d e f", "a b", "g h i j k l m", "a b g", ""]
+    for _ in range(3):
+        assert store.texts(texts) == [t.encode() for t in texts]
+        assert [store.texts([t]) for t in texts] == [[t.encode()] for t in texts]
+    assert sum(seen) > 14
+
+
 def test_frames(tmp_path):
     rng = np.random.default_rng(0)
     docs = [rng.integers(0, 50_000, n, np.uint32) for n in (0, 5, 400_000, 3, 70_000)]
