@@ -2,8 +2,8 @@
 
 Each round is two map-side-combined minimum aggregations and two joins; rounds
 grow with the logarithm of the component size. Every round is a written table,
-so a lost executor never recomputes earlier rounds. Nothing is collected but
-two numbers a round.
+so a lost executor never recomputes earlier rounds. A node of very many links is
+a hot key that the joins may split. Nothing is collected but two numbers a round.
 """
 
 from __future__ import annotations
@@ -11,24 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import stars
 from .shared import written
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """links: (a, b) with a > b. Large star: larger neighbours move to the least of a node's neighbourhood; small star: smaller ones and the node itself."""
-    if large:
-        both = links.select(F.col("a").alias("n"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("n"), F.col("a").alias("v")))
-    else:
-        both = links.select(F.col("a").alias("n"), F.col("b").alias("v"))
-    least = both.groupBy("n").agg(F.min("v").alias("m")).withColumn("m", F.least("n", "m"))
-    moved = both.join(least, "n")
-    if large:
-        out = moved.where("v > n").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        out = moved.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
-
-
 def connected_components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """links: two long columns (a, b), any order, loops and repeats allowed.
 
@@ -42,7 +28,7 @@ def connected_components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     )
     before = None
     for _ in range(most_rounds):
-        edges = written(_star(_star(edges, True), False), "stars")
+        edges = written(stars(stars(edges, True), False), "stars")
         now = edges.agg(F.count(F.lit(1)), F.expr("sum(cast(pmod(xxhash64(a, b), 1000000007) as decimal(38,0)))")).first()
         if tuple(now) == before:
             break

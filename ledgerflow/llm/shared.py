@@ -7,7 +7,6 @@ not a recomputation of everything before.
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,29 +15,22 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import work_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh local one only where that is unset and the master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="ledgerflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+__all__ = ["written"]
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
     """A path for one run's files; two runs never share one."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_folder(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+BROADCAST_ROWS = 1_000_000
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, broadcast if its counted rows stay within BROADCAST_ROWS (tens of MB), else left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -63,7 +55,7 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def small_transfers(spark: SparkSession) -> None:
-    """Keep the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes: texts are long, and each batch is held by the JVM and by Python at once."""
+    """Keep the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes: texts are long, and each batch is held by the JVM and by Python at once. Spark reads these settings when a plan first runs, which may be after the operator has returned, so they stay."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

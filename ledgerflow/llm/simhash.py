@@ -13,9 +13,10 @@ emits its value of each part, and for T_i > 0 the values within T_i flips as
 probes. Candidates share (part, value) and are verified on all bits.
 
 Sizes: identical fingerprints collapse to one row before any signature. A
-bucket over BUCKET rows is dealt anew by the bits outside its part (the
-distance left is at most D, so D + 1 sub-parts with threshold 0 lose
-nothing). Within a bucket links come out as a spanning forest, found by
+bucket over BUCKET rows is dealt anew by the bits that its rows need not share
+(the distance there is at most D, so D + 1 sub-parts with threshold 0 lose
+nothing), and what is still over it is dealt again by the bits then left, up to
+DEALS times; rows that even then meet are dense. Within a bucket links come out as a spanning forest, found by
 breadth-first search with whole-array distances, so a dense group of g
 fingerprints yields g - 1 links and not g * g. Only a sample of at most SAMPLE
 fingerprints ever reaches the driver.
@@ -31,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import anew
 from .components import connected_components
-from .shared import mapped, small_batches, written
+from .shared import mapped, narrow, small_batches, written
 from .shingle_join import near_components
 
 SAMPLE = 4096
 BUCKET = 50_000
+DEALS = 3
 SIGNATURE_COST = 1000.0  # one signature row, made, shuffled, sorted and stored, against one verified pair
 PAIRS = 1 << 20  # pairs verified at once
 
@@ -230,11 +233,28 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
 # ---- the search
 
 
+def _mixed(*columns) -> np.ndarray:
+    """One 64-bit key of integer arrays; keys that collide only bring more pairs to verify."""
+    key = np.uint64(0)
+    for c in columns:
+        key = (key ^ np.asarray(c).astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        key = key ^ (key >> np.uint64(32))
+    return key.view(np.int64)
+
+
+def _free(used: list[int]) -> int:
+    """The bits that are not used, as a signed mask."""
+    return int(np.uint64(~sum(1 << b for b in used) & (2**64 - 1)).astype(np.int64))
+
+
 def _signatures(reps: DataFrame, names: list[str], parts: list[list[int]], limits: list[int]) -> DataFrame:
+    """bucket (a key of part and value), free (mask of the bits outside the part), own (the row's own value, else a probe), rep and fingerprints."""
     masks = []
     for p, (bits, t) in enumerate(zip(parts, limits)):
         for k in range(t + 1):
             masks += [(p, sum(1 << b for b in c)) for c in combinations(range(len(bits)), k)]
+    free = [_free(bits) for bits in parts]
 
     def run(batches):
         for batch in small_batches(batches, max(64, 200_000 // max(1, len(masks)))):
@@ -242,44 +262,46 @@ def _signatures(reps: DataFrame, names: list[str], parts: list[list[int]], limit
             values = [part_values(f0, bits) for bits in parts]
             n, cols = len(f0), [batch.column(k).to_numpy() for k in range(batch.num_columns)]
             yield {
-                "part": np.repeat(np.array([p for p, _ in masks], np.int32), n),
-                "value": np.concatenate([values[p] ^ mask for p, mask in masks]),
+                "bucket": _mixed(np.repeat(np.array([p for p, _ in masks]), n), np.concatenate([values[p] ^ mask for p, mask in masks])),
+                "free": np.repeat(np.array([free[p] for p, _ in masks], np.int64), n),
                 "own": np.repeat(np.array([mask == 0 for _, mask in masks]), n),
                 "rep": np.tile(cols[0], len(masks)),
                 **{name: np.tile(c, len(masks)) for name, c in zip(names, cols[1:])},
             }
 
-    return mapped(reps, run, "part int, value long, own boolean, rep long, " + ", ".join(f"{n} long" for n in names))
+    return mapped(reps, run, _signature_kinds(names))
+
+
+def _signature_kinds(names: list[str]) -> str:
+    return "bucket long, free long, own boolean, rep long, " + ", ".join(f"{n} long" for n in names)
 
 
-def _deal_anew(rows: DataFrame, parts: list[list[int]], bits: int, bucket: int) -> DataFrame:
-    """Rows of buckets over the limit get sub-keys from the bits outside their part; part -1 marks nothing: sub-keys extend part and value."""
-    large = rows.groupBy("part", "value").count().where(F.col("count") > bucket).select("part", "value")
-    large = written(large, "large-buckets")
-    if large.isEmpty():
-        return rows.withColumn("sub", F.lit(0)).withColumn("subvalue", F.lit(0).cast("long"))
-    outside = []
-    for part in parts:
-        rest = [b for b in range(64) if b not in part]
-        outside.append([[b for k, b in enumerate(rest) if k % (bits + 1) == s] for s in range(bits + 1)])
-    names = [c for c in rows.columns if c[0] == "f"]
+def _deal_anew(rows: DataFrame, names: list[str], bits: int, bucket: int) -> DataFrame:
+    """Signatures whose buckets are at most bucket rows, as far as DEALS deals go: rows of larger ones are dealt by bits + 1 disjoint parts of the bits in free, and free shrinks by the part."""
 
     def run(batches):
         for batch in small_batches(batches, 20_000):
             t = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
             f0 = t["f0"].view(np.uint64)
             for s in range(bits + 1):
-                sub = np.zeros(len(f0), np.int64)
-                for p in np.unique(t["part"]):
-                    at = t["part"] == p
-                    sub[at] = part_values(f0[at], outside[p][s])
-                yield t | {"sub": np.full(len(f0), s + 1, np.int32), "subvalue": sub}
-
-    flagged = rows.join(large.withColumn("_large", F.lit(True)), ["part", "value"], "left")
-    fine = flagged.where("_large is null").drop("_large").withColumn("sub", F.lit(0)).withColumn("subvalue", F.lit(0).cast("long"))
-    kinds = "part int, value long, own boolean, rep long, " + ", ".join(f"{n} long" for n in names) + ", sub int, subvalue long"
-    dealt = mapped(flagged.where("_large").select(rows.columns), run, kinds)
-    return fine.select(dealt.columns).unionByName(dealt)
+                value, left = np.zeros(len(f0), np.int64), t["free"].copy()
+                for mask in np.unique(t["free"]):
+                    at, whole = t["free"] == mask, int(mask) & (2**64 - 1)
+                    used = [b for k, b in enumerate(b for b in range(64) if whole >> b & 1) if k % (bits + 1) == s]
+                    value[at] = part_values(f0[at], used)
+                    left[at] = mask & np.int64(_free(used))
+                yield t | {"bucket": _mixed(t["bucket"], np.full(len(f0), s), value), "free": left}
+
+    done = None
+    for deal in range(DEALS + 1):
+        large = written(rows.groupBy("bucket").count().where(F.col("count") > bucket).select("bucket"), "large-buckets") if deal < DEALS else None
+        fine = rows if large is None or large.isEmpty() else rows.join(large, "bucket", "left_anti").select(rows.columns)
+        done = fine if done is None else done.unionByName(fine)
+        if fine is rows:
+            break
+        again = rows.join(large, "bucket", "left_semi").select(rows.columns)
+        rows = written(mapped(again, run, _signature_kinds(names)), "dealt-signatures")
+    return done
 
 
 def near_links(reps: DataFrame, most_bits: int, most_total: int | None = None, bucket: int = BUCKET) -> DataFrame:
@@ -293,25 +315,20 @@ def near_links(reps: DataFrame, most_bits: int, most_total: int | None = None, b
     parts, limits = plan_thresholds(sample, n, most_bits)
     kept = [(p, t) for p, t in zip(parts, limits) if t >= 0]
     parts, limits = [p for p, _ in kept], [t for _, t in kept]
-    rows = _deal_anew(_signatures(reps.select("rep", *names), names, parts, limits), parts, most_bits, bucket)
-    keys = ["part", "value", "sub", "subvalue"]
+    rows = _deal_anew(written(_signatures(reps.select("rep", *names), names, parts, limits), "signatures"), names, most_bits, bucket)
 
     def run(batches):
         held: dict[str, np.ndarray] | None = None
 
         def links(t):
-            key = np.stack([t[k].astype(np.int64) for k in keys], 1)
-            group = np.cumsum(np.r_[0, (key[1:] != key[:-1]).any(1)])
-            return bucket_links(group, t["own"], np.stack([t[x].view(np.uint64) for x in names], 1), t["rep"], most_bits, total)
+            return bucket_links(t["bucket"], t["own"], np.stack([t[x].view(np.uint64) for x in names], 1), t["rep"], most_bits, total)
 
         found_a, found_b, have = [], [], 0
         for batch in batches:
             t = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in batch.schema.names}
             if held is not None:
                 t = {x: np.concatenate([held[x], t[x]]) for x in t}
-            last = np.ones(len(t["rep"]), bool)
-            for k in keys:  # the last bucket may go on in the next batch
-                last &= t[k] == t[k][-1]
+            last = t["bucket"] == t["bucket"][-1]  # the last bucket may go on in the next batch
             cut = len(last) - int(last.sum())
             held = {x: v[cut:] for x, v in t.items()}
             if cut:
@@ -331,7 +348,7 @@ def near_links(reps: DataFrame, most_bits: int, most_total: int | None = None, b
             a, b = merged(np.concatenate(found_a), np.concatenate(found_b))
             yield {"a": a, "b": b}
 
-    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket")
     return mapped(dealt, run, "a long, b long")
 
 
@@ -348,13 +365,31 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     prints = written(fingerprints(df, text, key, words, seeds), "fingerprints")
     names = [f"f{k}" for k in range(len(seeds))]
     reps = written(prints.groupBy(*names).agg(F.min(key).alias("rep")).where("rep is not null").select("rep", *names), "fingerprint-classes")
-    parts = connected_components(near_links(reps, most_bits, most_total))
+    parts = connected_components(near_links(reps, most_bits, most_total).unionByName(_id_links(prints, reps, names, key)))
     classes = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(classes.select(*[F.col(n).alias(f"_{n}") for n in names], "component_id"), [F.col(n) == F.col(f"_{n}") for n in names], "left")
     return out.select(key, *names, "component_id")
 
 
+def _id_links(prints: DataFrame, reps: DataFrame, names: list[str], key: str) -> DataFrame:
+    """Links (a, b) between the fingerprint classes that rows of one id belong to; an id with one fingerprint has none."""
+    whole = F.struct(*names) if len(names) > 1 else F.col(names[0])
+    several = prints.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(whole).alias("_low"), F.max(whole).alias("_high")).where("_low <> _high").select("_key")
+    several = written(several, "ids-of-several")
+    if several.isEmpty():
+        return several.select(F.col("_key").alias("a"), F.col("_key").alias("b"))
+    rows = prints.select(F.col(key).alias("_key"), *names).join(several, "_key", "left_semi").join(reps, names).select("_key", "rep").distinct()
+    least = rows.groupBy("_key").agg(F.min("rep").alias("b"))
+    return rows.join(anew(least, "_key", "_least"), F.col("_key") == F.col("_least")).select(F.col("rep").alias("a"), "b")
+
+
 def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5) -> DataFrame:
-    """The rows of df with one document of each group left: the one with the least id. A group is a component of links between texts whose word shingles have a Jaccard similarity of 0.8 or more, decided on the shingles: fingerprints only estimate it."""
-    gone = near_components(df, text, key, words).where("node <> component").select(F.col("node").alias(key))
-    return df.join(gone, key, "left_anti").select(df.columns)
+    """The rows of df with one document of each group left: the one with the least id. A group is a component of links between texts whose word shingles have a Jaccard similarity of 0.8 or more, decided on the shingles: fingerprints only estimate it.
+
+    Rows without an id stay. An id with several texts is one node: its rows
+    stay or go together. Null and empty texts are copies of each other.
+    Repeated rows of the id that stays all stay. An empty table gives an empty
+    result; further columns are kept, whatever their names.
+    """
+    gone = near_components(df, text, key, words).where("node <> component").select(F.col("node").alias("__gone"))
+    return df.join(narrow(written(gone, "near-gone")), F.col(key).cast("long") == F.col("__gone"), "left_anti").select(df.columns)
