@@ -11,13 +11,19 @@ from .tables import written
 TASK_EDGES = 2_000_000
 
 
-def _stars(links: DataFrame, large: bool) -> DataFrame:
+def anew(df: DataFrame, column: str, name: str) -> DataFrame:
+    """An aggregate keyed by an equal value under another name. A join on it deals both sides out by itself, so that AQE may split a hot key; on the aggregate's own key the join would reuse its exchange, which cannot be split."""
+    same = F.concat(F.col(column), F.lit("")) if dict(df.dtypes)[column] == "string" else F.col(column).bitwiseXOR(F.lit(0))
+    return df.select(same.alias(name), *[c for c in df.columns if c != column])
+
+
+def stars(links: DataFrame, large: bool) -> DataFrame:
     """One star step on links a > b: larger neighbours (or the rest) move to the least of each neighbourhood."""
     rows = links.select(F.col("a").alias("n"), F.col("b").alias("v"))
     if large:
         rows = rows.unionByName(links.select(F.col("b").alias("n"), F.col("a").alias("v")))
     least = rows.groupBy("n").agg(F.least(F.col("n"), F.min("v")).alias("m"))
-    moved = rows.join(least, "n")
+    moved = rows.join(anew(least, "n", "_n"), F.col("n") == F.col("_n")).drop("_n")
     if large:
         out = moved.where("v > n").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -31,7 +37,7 @@ def weak_components(e: DataFrame, rounds: int = 50) -> DataFrame:
     links = written(e.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "links")
     before = None
     for _ in range(rounds):
-        links = written(_stars(_stars(links, True), False), "stars")
+        links = written(stars(stars(links, True), False), "stars")
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1_000_003)))).first())
         if now == before:
             break
