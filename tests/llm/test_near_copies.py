@@ -5,7 +5,7 @@ import random
 import pytest
 from test_text_operators import CLASHING, ODD
 
-from ledgerflow.llm import shingle_join, simhash
+from ledgerflow.llm import shared, shingle_join, simhash
 
 
 def plain_set(text):
@@ -49,15 +49,30 @@ def edited(seed):
     return [" ".join(x) for x in out]
 
 
-@pytest.mark.parametrize("sample", [shingle_join.SAMPLE, 0])
-def test_near_stage_is_exact(spark, monkeypatch, sample):
-    monkeypatch.setattr(shingle_join, "SAMPLE", sample)
+@pytest.mark.parametrize("cells, stars", [(shingle_join.CELLS, True), (1, False)])
+def test_near_stage_is_exact(spark, monkeypatch, cells, stars):
+    """With counters, and with one for all shingles, which orders by hash alone; also where the pairs with least and greatest ids find nothing and all is left to the pairs across."""
+    monkeypatch.setattr(shingle_join, "CELLS", cells)
+    possible, calls = shingle_join._possible, []
+    monkeypatch.setattr(shingle_join, "_possible", lambda prefixes, pairs: possible(prefixes, pairs if calls.append(1) or stars or len(calls) > 1 else pairs.limit(0)))
     rows = list(enumerate(edited(5)))
     random.Random(1).shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()} == plain_kept(sorted(rows))
 
 
+def test_passage_of_many_texts_makes_few_pairs(spark, monkeypatch):
+    """Texts that share a passage, but are no near copies, meet at rarer shingles: pairs to verify do not grow with the square of the texts."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) + " " + passage) for k in range(600)]
+    made = {}
+    monkeypatch.setattr(shingle_join, "written", lambda df, name: (out := shared.written(df, name), made.setdefault(name, out.count()))[0])
+    kept = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert kept.count() == 600
+    assert made["shared-shingles"] < 600 and made["near-candidates"] < 600
+
+
 def test_odd_texts(spark):
     rows = [(k, t) for k, t in enumerate(ODD)] + [(3, "a"), (3, "the cat sat on the mat"), (None, "a"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *CLASHING)
