@@ -26,6 +26,7 @@ import re
 import zlib
 from urllib.parse import urlsplit
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from .shared import file_system, mapped, new_folder, put_file, small_batches
 
 FAN_IN = 64
 BLOCK = 2048  # entries a block of a run
+SPLITTERS = 1024  # keys a run to choose ranges from, about
+STRETCH = 64 << 20  # bytes of an archive that one task reads back, about
 EPOCH_SECONDS = 1_600_000_000  # capture time of page 0 where the table has no timestamps
 INDEX = "url_key string, captured_at string, page_id long, file string, offset long, length long"
 _COLUMNS = ["url_key", "captured_at", "page_id", "file", "offset", "length"]
@@ -207,7 +210,16 @@ def merge_runs(spark: SparkSession, runs: list[str], folder: str, fan_in: int =
         todo = spark.createDataFrame(groups, "target string, parts array<string>").repartition(len(groups))
         mapped(todo, one, "target string").collect()
         runs, level = [g[0] for g in groups], level + 1
-    keys = sorted(key for r in runs for _, _, key in run_table(r))
+
+    def keys_of(batches):
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                table = run_table(uri)
+                found = [key for _, _, key in table[:: max(1, len(table) // SPLITTERS)]]
+                yield {"url_key": [k[0] for k in found], "captured_at": [k[1] for k in found], "page_id": [k[2] for k in found]}
+
+    listed = spark.createDataFrame([(r,) for r in runs], "uri string").repartition(len(runs))
+    keys = sorted(tuple(r) for r in mapped(listed, keys_of, "url_key string, captured_at string, page_id long").collect())  # 2 * SPLITTERS a run at most, FAN_IN runs
     n = max(1, min(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), len(keys)))
     cuts = sorted({keys[len(keys) * k // n] for k in range(1, n)}) if keys else []
     bounds = list(zip([None, *cuts], [*cuts, None]))
@@ -304,6 +316,10 @@ def read_records(index: DataFrame, folder: str, payloads: bool = False) -> DataF
                 if found:
                     yield {n: [r[n] for r in found] for n in names}
 
-    places = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # Stretches of archives are dealt to a number of tasks that follows the archives' bytes; a large archive is several tasks' work.
+    where, path = file_system(folder)
+    size = sum(f.size for f in where.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.base_name.endswith(".warc.gz"))
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // STRETCH)
+    places = index.select("file", "offset", "length").repartition(tasks, F.col("file"), F.floor(F.col("offset") / F.lit(STRETCH))).sortWithinPartitions("file", "offset")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     return mapped(places, run, schema)
