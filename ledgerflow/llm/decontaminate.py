@@ -12,17 +12,20 @@ passages of a batch at once, rule out most pairs of passage and block. In the
 blocks left, WAND walks the postings and scores only pivots that can reach the
 threshold.
 
-A retrieved pair is then verified on the whole text: of the item's question
-(all lines but the last, or sentences but the last) and its answer (the rest),
-and of the item altogether, shares of their five-word shingles (shorter parts
-are one shingle) that the text has. It is a leak if the item has 0.8 or more
-and question and answer half or more each.
+A retrieved pair is then verified on the whole text: of the item, its question
+and its answer, shares of their five-word shingles that the text has (a shorter
+item is one shingle; of questions and answers under SHORT words, single words are
+compared, as one changed word would leave no shingle). It is a leak if the item
+has 0.8 or more and question and answer half or more each. The answer is an item's
+last line, or what follows its last question mark; other items have none, and
+their whole share decides.
 
 Words are runs of word characters, lower-cased. Null and empty texts match
 nothing; null and empty items are not indexed; items of one text are reported
 each. Repeated rows give repeated results. The index is broadcast only up to
-INDEX_LIMIT items; larger benchmarks are searched in blocks of that many, one
-pass over the texts each.
+INDEX_LIMIT items and INDEX_CHARS characters of them; larger benchmarks are
+searched in blocks of that size, one pass over the texts each, and a block's index
+is given up before the next one is made.
 """
 
 from __future__ import annotations
@@ -31,18 +34,20 @@ import math
 import re
 import uuid
 from collections import Counter
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import kept, mapped, small_batches
+from .shared import kept, mapped, small_batches, small_transfers, written
 
 SEGMENT, SHINGLE = 64, 5
 K1, B = 1.2, 0.75
 LEAST_SCORE, LEAST_OVERLAP, LEAST_PART = 0.6, 0.8, 0.5
 BLOCK, MOST_BLOCKS = 4, 128  # segments a block at least, blocks at most
-INDEX_LIMIT = 50_000
+INDEX_LIMIT, INDEX_CHARS = 50_000, 16 << 20
+SHORT = 10
 _WORD = re.compile(r"\w+")
 
 
@@ -51,13 +56,12 @@ def words(text: str | None) -> list[str]:
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """Words of an item's question and answer; an item of one sentence is all question."""
+    """Words of an item's question and answer; an item without such a structure is all question."""
     lines = [x for x in text.split("\n") if words(x)]
-    if len(lines) < 2:
-        lines = [x for x in re.split(r"(?<=[.?!])\s+", text) if words(x)]
-    if len(lines) < 2:
-        return words(text), []
-    return words(" ".join(lines[:-1])), words(lines[-1])
+    if len(lines) > 1:
+        return words(" ".join(lines[:-1])), words(lines[-1])
+    question, _, answer = text.rpartition("?")
+    return (words(question), words(answer)) if words(question) and words(answer) else (words(text), [])
 
 
 def shingles(tokens: list[str]) -> set[tuple[str, ...]]:
@@ -65,6 +69,11 @@ def shingles(tokens: list[str]) -> set[tuple[str, ...]]:
     return {tuple(tokens[k : k + n]) for k in range(len(tokens) - n + 1)} if n else set()
 
 
+def part_shingles(tokens: list[str]) -> set[tuple[str, ...]]:
+    """What a question's or an answer's share is taken of."""
+    return shingles(tokens) if len(tokens) >= SHORT else {(t,) for t in tokens}
+
+
 class Index:
     """Segments of items, and by word and block the postings (segment, weight) and their maximum weight."""
 
@@ -76,7 +85,7 @@ class Index:
             tokens = words(text)
             question, answer = question_and_answer(text)
             # Shingles of the whole item, of its question and of its answer.
-            self.parts[k] = (shingles(tokens), shingles(question), shingles(answer))
+            self.parts[k] = (shingles(tokens), part_shingles(question), part_shingles(answer))
             n = max(1, math.ceil(len(tokens) / SEGMENT))
             cut = [len(tokens) * j // n for j in range(n + 1)]
             segments += [(k, tokens[a:b]) for a, b in zip(cut, cut[1:]) if b > a]
@@ -195,26 +204,33 @@ class Index:
         return sorted(out)
 
 
-def _blocks(benchmark: DataFrame, item_text: str, item_id: str, limit: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most limit; each block is collected and broadcast by itself."""
+def _passes(benchmark: DataFrame, item_text: str, item_id: str, limit: int, one, start: DataFrame | None = None) -> list[DataFrame]:
+    """one(broadcast index, token) for each block of items, or one(index, token, what the pass before kept) from start on. Each block is collected by itself; of several, a result is written before the block's index goes and the next is made."""
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    n = items.count()
-    parts = max(1, -(-n // limit))
+    n, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.char_length("t")), F.lit(0))).first()
+    parts, found = max(1, -(-n // limit), -(-chars // INDEX_CHARS)), []
     for k in range(parts):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        yield [(r["i"], r["t"]) for r in mine.orderBy("i", "t").collect()]
+        index = _broadcast(items.sparkSession, Index([(r["i"], r["t"]) for r in mine.orderBy("i", "t").collect()]))
+        out = one(index, uuid.uuid4().hex, *([] if start is None else [start]))
+        if parts > 1:
+            out = written(out, "leaks")
+            index.destroy()
+        found.append(out)
+        start = None if start is None else out
+    return found
+
+
+def _broadcast(spark: SparkSession, index: Index):
+    return spark.sparkContext.broadcast(index)
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_id: str = "item_id", limit: int = INDEX_LIMIT) -> DataFrame:
     """One row a text and item that leaks into it: key, item_id, bm25_share, overlap, question_overlap, answer_overlap."""
     rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     schema = f"_id {rows.schema[0].dataType.simpleString()}, item_id long, bm25_share double, overlap double, question_overlap double, answer_overlap double"
-    found = None
-    for items in _blocks(benchmark, item_text, item_id, limit):
-        index = df.sparkSession.sparkContext.broadcast(Index(items))
-        one = mapped(rows, _searcher(index, uuid.uuid4().hex), schema)
-        found = one if found is None else found.unionByName(one)
-    return found.withColumnRenamed("_id", key)
+    found = _passes(benchmark, item_text, item_id, limit, lambda index, token: mapped(rows, _searcher(index, token), schema))
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("_id", key)
 
 
 def _searcher(index, token: str):
@@ -236,10 +252,10 @@ def _searcher(index, token: str):
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_id: str = "item_id", limit: int = INDEX_LIMIT) -> DataFrame:
     """The rows of df into which no item leaks, with all their columns; one pass a block of items, no shuffle."""
     at = df.columns.index(text)
-    for items in _blocks(benchmark, item_text, item_id, limit):
-        index, token = df.sparkSession.sparkContext.broadcast(Index(items)), uuid.uuid4().hex
+    small_transfers(df.sparkSession)
 
-        def run(batches, index=index, token=token):
+    def one(index, token, df=df):
+        def run(batches):
             import pyarrow as pa
 
             own = kept(token, lambda: index.value)
@@ -248,5 +264,6 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str
                 clean[[t for t, *_ in own.leaks(batch.column(at).to_pylist())]] = False
                 yield batch.filter(pa.array(clean))
 
-        df = df.mapInArrow(run, df.schema)
-    return df
+        return df.mapInArrow(run, df.schema)
+
+    return _passes(benchmark, item_text, item_id, limit, one, df)[-1]

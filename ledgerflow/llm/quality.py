@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import sample_labelled
-from .shared import kept, mapped, small_batches
+from .shared import kept, mapped, small_batches, small_transfers
 
 SAMPLE = 6000
 WIDTH = 1 << 15
@@ -150,6 +150,7 @@ def select_good(df: DataFrame, model: Model, text: str = "text", key: str = "doc
     shared, token = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     column = int(np.searchsorted(model.grades, least_grade))
     at = df.columns.index(text)
+    small_transfers(df.sparkSession)
 
     def run(batches):
         import pyarrow as pa

@@ -136,7 +136,19 @@ def test_frames(tmp_path):
 # ---- exact dedup
 
 
-def test_exact(odd, none):
+def test_exact_ids(spark):
+    """One row of a group stays where an id repeats, by its length; rows without an id give way; ids of their own drop by id."""
+    rows = [(1, "a b"), (1, "ab"), (2, "ab"), (3, "c"), (None, "c  "), (4, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda df: sorted(((r["doc_id"] or 0, r["text"]) for r in df.collect()))
+    assert kept(exact_dedup.exact_groups(docs).join(docs.limit(0), ["doc_id"], "left").where("kept").select("doc_id", "text_sha256").withColumnRenamed("text_sha256", "text"))[0][0] == 1
+    assert exact_dedup.exact_groups(docs).where("kept").count() == 3
+    assert kept(exact_dedup.drop_exact_copies(docs)) == [(1, "a b"), (3, "c"), (4, "d")]
+    own = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)] + [(None, "d "), (9, None), (10, "")], "doc_id long, text string")
+    assert kept(exact_dedup.drop_exact_copies(own)) == [(0, "a b"), (4, "c  "), (5, "d"), (9, None)]
+
+
+def test_exact(odd, none, monkeypatch):
     rows = [(r["doc_id"], r["text"] or "") for r in odd.collect()]
     norm = lambda t: t.translate({ord(c): None for c in exact_dedup.SPACES})
     groups = {}
@@ -144,12 +156,13 @@ def test_exact(odd, none):
         groups.setdefault(norm(t), []).append((-len(t), i if i is not None else 1 << 62, i))
     want = []
     for i, t in rows:
-        best = min(g for g in groups[norm(t)])[2] if any(g[2] is not None for g in groups[norm(t)]) else None
         named = [g for g in groups[norm(t)] if g[2] is not None]
-        best = min(named)[2] if named else None
-        want.append((str(i), best, len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()))
-    got = exact_dedup.exact_groups(odd).collect()
-    assert sorted((str(r["doc_id"]), r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == sorted(want)
+        size, _, best = min(named) if named else (None, None, None)
+        want.append((str(i), best, len(groups[norm(t)]), i == best and size in (None, -len(t)), hashlib.sha256(norm(t).encode()).hexdigest()))
+    for limit in (exact_dedup.REPEATED, 0):  # texts of repeated digests, and all texts
+        monkeypatch.setattr(exact_dedup, "REPEATED", limit)
+        got = exact_dedup.exact_groups(odd).collect()
+        assert sorted((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == sorted(want, key=str)
     assert exact_dedup.exact_groups(none).count() == 0
     kept = exact_dedup.drop_exact_copies(odd)
     assert kept.columns == odd.columns
@@ -219,8 +232,7 @@ def test_simhash_ids_of_several_texts(spark):
     assert sorted((r["component_id"] or 0) for r in out.where("doc_id is null").collect()) == [0, 3]
 
 
-@pytest.mark.parametrize("bucket", [simhash.BUCKET, 40, 8])
-@pytest.mark.parametrize("bits", [4, 9])
+@pytest.mark.parametrize("bucket, bits", [(simhash.BUCKET, 4), (simhash.BUCKET, 9), (40, 9), (8, 4)])
 def test_links_lose_nothing(spark, monkeypatch, bucket, bits):
     """Dense clusters and small bucket limits, against all pairs."""
     rng = random.Random(bits)
@@ -271,8 +283,10 @@ def plain_leaks(texts, items):
         have = {tuple(tokens[a : a + n]) for n in range(1, 6) for a in range(len(tokens) - n + 1)}
         for i, text in items:
             whole, (q, a) = decontaminate.words(text), decontaminate.question_and_answer(text)
-            share = lambda p: sum(g in have for g in decontaminate.shingles(p)) / max(1, len(decontaminate.shingles(p))) if p else 1.0
-            if whole and share(whole) >= 0.8 and min(share(q), share(a)) >= 0.5:
+            grams = lambda p, n: {tuple(p[k : k + n]) for k in range(max(1, len(p) - n + 1))} if p else set()
+            share = lambda p, n: sum(g in have for g in grams(p, n)) / len(grams(p, n)) if p else 1.0
+            part = lambda p: share(p, 5 if len(p) >= 10 else 1)
+            if whole and share(whole, min(5, len(whole))) >= 0.8 and min(part(q), part(a)) >= 0.5:
                 found.add((k, i))
     return found
 
@@ -295,13 +309,47 @@ def test_leaks(spark, odd, none):
     for limit in (decontaminate.INDEX_LIMIT, 11):
         got = decontaminate.find_leaks(docs, benchmark, limit=limit).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want
-    clean = decontaminate.drop_leaks(docs, benchmark)
-    assert {r["doc_id"] for r in clean.collect()} == {*range(120), 500, 501} - {d for d, _ in want}
+    for limit in (decontaminate.INDEX_LIMIT, 11):
+        clean = decontaminate.drop_leaks(docs, benchmark, limit=limit)
+        assert {r["doc_id"] for r in clean.collect()} == {*range(120), 500, 501} - {d for d, _ in want}
     assert decontaminate.find_leaks(none, benchmark).count() == 0
     assert decontaminate.find_leaks(odd, benchmark.limit(0)).count() == 0
     assert decontaminate.drop_leaks(odd, benchmark).columns == odd.columns
 
 
+def test_one_block_at_a_time(spark, monkeypatch):
+    """Of several blocks, each index is given up before the next is broadcast."""
+    alive, most = [0], [0]
+    make = decontaminate._broadcast
+
+    def counted(session, index):
+        real = make(session, index)
+        alive[0] += 1
+        most.append(alive[0])
+        end = real.destroy
+        real.destroy = lambda *a: (alive.__setitem__(0, alive[0] - 1), end(*a))
+        return real
+
+    monkeypatch.setattr(decontaminate, "_broadcast", counted)
+    monkeypatch.setattr(decontaminate, "INDEX_CHARS", 200)
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(14))) for k in range(9)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in items] + [(99, "nothing here")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, benchmark).collect()} == {(k, k) for k, _ in items}
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, benchmark).collect()] == [99]
+    assert len(most) > 6 and max(most) == 1 and alive == [0]
+
+
+def test_short_answers_and_plain_items():
+    """One changed word of a short answer is still a leak; an item without question and answer is decided by its whole share."""
+    question = " ".join(f"q{k}" for k in range(40))
+    index = decontaminate.Index([(0, question + "?\nthe five word answer is"), (1, ". ".join(f"s{k} t{k} u{k}" for k in range(20)) + ".")])
+    assert [i for _, i, *_ in index.leaks([question + " the five word reply is"])] == [0]
+    assert index.leaks([question + " something else altogether now here"]) == []
+    cut = " ".join(f"s{k} t{k} u{k}" for k in range(18))
+    assert [i for _, i, *_ in index.leaks([cut])] == [1]
+
+
 def test_search_finds_all_above_threshold():
     rng = random.Random(4)
     items = [(k, " ".join(f"t{int(rng.expovariate(0.05))}" for _ in range(rng.randrange(5, 40)))) for k in range(80)]
