@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +32,28 @@ def stars(links: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def weak_components(e: DataFrame, rounds: int = 50) -> DataFrame:
-    """account, component (its least account) for every node of edges src, dst; alternating stars, so rounds grow with the logarithm of a component's size."""
+def join_up(p: pd.DataFrame) -> pd.DataFrame:
+    """account, component of links a, b: every node takes the least name around it, and that node's own, until nothing moves."""
+    names, codes = np.unique(np.concatenate([p["a"].to_numpy(object), p["b"].to_numpy(object)]).astype(str), return_inverse=True)
+    a, b, low = codes[: len(p)], codes[len(p) :], np.arange(len(names))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, low[a], low[b])
+        np.minimum.at(new, low[b], low[a])
+        while not np.array_equal(jumped := new[new], new):
+            new = jumped
+        if np.array_equal(new, low):
+            return pd.DataFrame({"account": names.astype(object), "component": names[low].astype(object)})
+        low = new
+
+
+def weak_components(e: DataFrame, rounds: int = 50, task_edges: int = TASK_EDGES) -> DataFrame:
+    """account, component (its least account) for every node of edges src, dst: up to task_edges pairs in one task, beyond that by alternating stars, whose rounds grow with the logarithm of a component's size."""
     nodes = e.select(F.explode(F.array("src", "dst")).alias("account")).distinct()
     links = written(e.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "links")
+    if links.count() <= task_edges:
+        found = links.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda p: join_up(p), "account string, component string")
+        return nodes.join(found, "account", "left").withColumn("component", F.coalesce("component", "account"))
     before = None
     for _ in range(rounds):
         links = written(stars(stars(links, True), False), "stars")
@@ -54,11 +73,11 @@ def by_parts(e: DataFrame, function, schema: str, task_edges: int = TASK_EDGES,
     there are none), which need a distributed algorithm.
     """
     extra = extra or []
-    parts = weak_components(e) if parts is None else parts
+    parts = weak_components(e, task_edges=task_edges) if parts is None else parts
     rows = written(e.select("src", "dst", *extra).join(parts.withColumnRenamed("account", "src"), "src"), "component-edges")
     sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
     total, most = sizes.agg(F.sum("_size"), F.max("_size")).first()
-    groups = max(1, min(int((total or 0) // max(1, task_edges // 8)) + 1, 100_000), int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(int((total or 0) // max(1, task_edges // 8)) + 1, int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     large = None
     if (most or 0) > task_edges:
         over = sizes.where(F.col("_size") > task_edges).select("component")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.risk import contribution_text, deviation_text
@@ -31,6 +31,13 @@ def deviations(features: DataFrame) -> DataFrame:
     return middle.join(spread, "key").select(F.col("key").alias("feature"), "median", F.when(F.col("mad") == 0, F.lit(1e-9)).otherwise(F.col("mad")).alias("mad"))
 
 
+def _top(rows: DataFrame, top_k: int) -> DataFrame:
+    """account, rank and the fields of the top_k least entries of the array _each, ordered by its _k and feature; entries without a _k come last."""
+    last = F.transform("_each", lambda x: x.withField("_k", F.coalesce(x["_k"], F.lit(float("inf")))))
+    found = rows.select("account", F.posexplode(F.slice(F.array_sort(last), 1, top_k)).alias("_at", "_x"))
+    return found.select("account", (F.col("_at") + 1).alias("rank"), "_x.*").drop("_k")
+
+
 def explain_deviation(features: DataFrame, accounts: DataFrame | str | None = None, top_k: int = 5) -> DataFrame:
     """account, rank, feature, direction, value, median, deviation, reason: the top_k strongest robust z-scores of each asked account (all accounts by default); unknown accounts have no rows."""
     asked = features
@@ -38,10 +45,14 @@ def explain_deviation(features: DataFrame, accounts: DataFrame | str | None = No
         asked = features.where(F.col("account") == accounts)
     elif accounts is not None:
         asked = features.join(accounts.select("account"), "account", "left_semi")
-    rows = unpivot(asked).join(F.broadcast(deviations(features)), "feature")
-    rows = rows.withColumn("deviation", F.abs((F.col("value") - F.col("median")) / F.col("mad")))
-    order = Window.partitionBy("account").orderBy(F.desc("deviation"), "feature")
-    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).withColumn("direction", F.when(F.col("value") >= F.col("median"), "high").otherwise("low"))
+    columns = [c for c in features.columns if c != "account"]
+    # One row: the middle and spread of every feature. An account's features are ranked inside its row, so accounts are never shuffled.
+    spreads = deviations(features).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("median", "mad")))).alias("_of"))
+    value, of = lambda c: F.col(c).cast("double"), lambda c, x: F.col("_of")[c][x]
+    score = lambda c: F.abs((value(c) - of(c, "median")) / of(c, "mad"))
+    each = F.array(*[F.struct((-score(c)).alias("_k"), F.lit(c).alias("feature"), value(c).alias("value"), of(c, "median").alias("median"), score(c).alias("deviation")) for c in columns])
+    rows = _top(asked.crossJoin(F.broadcast(spreads)).select("account", each.alias("_each")), top_k)
+    rows = rows.withColumn("direction", F.when(F.col("value") >= F.col("median"), "high").otherwise("low"))
     return rows.select("account", "rank", "feature", "direction", "value", "median", "deviation", deviation_text(F.col("feature"), F.col("direction")).alias("reason"))
 
 
@@ -137,10 +148,8 @@ def explain_shap(features: DataFrame, artifacts: Artifacts, accounts: DataFrame
     elif accounts is not None:
         asked = features.join(accounts.select("account"), "account", "left_semi")
     names = F.array(*[F.lit(c) for c in artifacts.feature_columns])
-    rows = shap_values(asked, artifacts).select("account", F.explode(F.arrays_zip(names.alias("feature"), F.col("shap").alias("shap_value"))).alias("z")).select("account", "z.feature", "z.shap_value")
-    rows = rows.withColumn("abs_shap", F.abs("shap_value"))
-    order = Window.partitionBy("account").orderBy(F.desc("abs_shap"), "feature")
-    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    each = F.zip_with(names, "shap", lambda n, v: F.struct((-F.abs(v)).alias("_k"), n.alias("feature"), v.alias("shap_value"), F.abs(v).alias("abs_shap")))
+    rows = _top(shap_values(asked, artifacts).select("account", each.alias("_each")), top_k)
     return rows.select("account", "rank", "feature", "shap_value", "abs_shap", contribution_text(F.col("feature"), F.col("shap_value")).alias("reason"))
 
 

@@ -59,17 +59,19 @@ def timing_stats(tx: DataFrame) -> DataFrame:
     Windows run within (account, day), and the days' summaries are joined up by
     a second window, so an account with a third of all events is many tasks'
     work and its second window has one row a day. Relay pairs each incoming
-    event with the first outgoing one at or after it.
+    event with the first outgoing one at or after it: a running minimum from the
+    latest event down, as a frame that grows is linear and one that shrinks is not.
     """
     rows = timeline(tx).withColumn("day", F.floor(F.col("t") / F.lit(DAY_US)).cast("long")).withColumn("s", F.col("t") - F.col("day") * F.lit(DAY_US))
     by_day = Window.partitionBy("account", "day").orderBy("s")
+    down = Window.partitionBy("account", "day").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # ties count
     rows = rows.select(
         "account",
         "day",
         "s",
         "is_out",
         (F.col("s") - F.lag("s").over(by_day)).alias("gap"),
-        F.when(~F.col("is_out"), F.min(F.when(F.col("is_out"), F.col("s"))).over(by_day.rangeBetween(Window.currentRow, Window.unboundedFollowing))).alias("next_out"),
+        F.when(~F.col("is_out"), F.min(F.when(F.col("is_out"), F.col("s"))).over(down)).alias("next_out"),
     )
     waits = ~F.col("is_out") & F.col("next_out").isNull()
     days = rows.groupBy("account", "day").agg(
@@ -88,7 +90,7 @@ def timing_stats(tx: DataFrame) -> DataFrame:
     days = days.withColumns(
         {
             "before": F.lag(at("last")).over(order),
-            "later_out": F.min(at("first_out")).over(order.rowsBetween(1, Window.unboundedFollowing)),
+            "later_out": F.min(at("first_out")).over(Window.partitionBy("account").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)),
         }
     )
     wait_total = F.when((F.col("waiting") > 0) & F.col("later_out").isNotNull(), (F.col("later_out") - F.col("day") * F.lit(DAY_US)).cast("double") * F.col("waiting") - F.col("waiting_sum"))
@@ -153,12 +155,16 @@ def ratios(features: DataFrame) -> DataFrame:
     )
 
 
-def tabular_features(tx: DataFrame, window_days: int = 7) -> DataFrame:
-    """Features that need no graph algorithm, one row an account; degrees are the distinct counterparties."""
-    out = all_accounts(tx).join(flow_stats(tx, "outgoing"), "account", "left").join(flow_stats(tx, "incoming"), "account", "left").join(timing_stats(tx), "account", "left")
+def both_flows(tx: DataFrame) -> DataFrame:
+    """flow_stats of both sides with tx_count, one row an account; 0 on a side without transactions. Columns that nobody asks for are never aggregated."""
+    out = flow_stats(tx, "outgoing").join(flow_stats(tx, "incoming"), "account", "full")
     numbers = [n for n, t in out.dtypes if t in ("double", "bigint")]
-    out = out.fillna(0, subset=numbers).withColumn("tx_count", F.col("outgoing_tx_count") + F.col("incoming_tx_count"))
-    out = velocity(out, tx, window_days).withColumns(
+    return out.fillna(0, subset=numbers).withColumn("tx_count", F.col("outgoing_tx_count") + F.col("incoming_tx_count"))
+
+
+def flow_features(tx: DataFrame, window_days: int = 7) -> DataFrame:
+    """Features from the flows of either side alone; degrees are the distinct counterparties."""
+    out = velocity(both_flows(tx), tx, window_days).withColumns(
         {
             "in_degree": F.col("unique_in_counterparties"),
             "out_degree": F.col("unique_out_counterparties"),
@@ -170,3 +176,8 @@ def tabular_features(tx: DataFrame, window_days: int = 7) -> DataFrame:
         }
     )
     return ratios(out).drop("outgoing_tx_count", "incoming_tx_count", "outgoing_amount_max", "incoming_amount_max")
+
+
+def tabular_features(tx: DataFrame, window_days: int = 7) -> DataFrame:
+    """Features that need no graph algorithm, one row an account."""
+    return flow_features(tx, window_days).join(timing_stats(tx), "account", "left").fillna(0, subset=["max_gap_days", "mean_gap_days", "relay_score"])

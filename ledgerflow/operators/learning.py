@@ -44,16 +44,32 @@ def class_balance(labelled: DataFrame, label: str = "label") -> DataFrame:
 
 
 def downsample(tx: DataFrame, ratio: int = 25, seed: int = 42, key: str = "tx_id") -> DataFrame:
-    """All laundering rows and exactly ratio times as many others, or all of them if there are fewer; chosen and shuffled by hash of the key, so the result does not depend on partitioning."""
+    """All laundering rows and exactly ratio times as many others, or all of them if there are fewer; chosen by the least MD5 of key:seed and shuffled by hash of the key, so the result does not depend on partitioning."""
     positive, negative = tx.where("is_laundering = 1"), tx.where("is_laundering = 0")
-    wanted = positive.count() * ratio
-    if wanted < negative.count():
-        # The wanted-th smallest hash as a cut, then the few at the cut by key: no one-task sort of everything.
-        h = F.xxhash64(key, F.lit(seed))
-        negative = negative.withColumn("_h", h).orderBy("_h", key).limit(wanted).drop("_h") if wanted else negative.limit(0)
+    have, others = tx.agg(F.count(F.when(F.col("is_laundering") == 1, 1)), F.count(F.when(F.col("is_laundering") == 0, 1))).first()
+    if have * ratio < others:
+        negative = least_hashed(negative.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))), have * ratio, key).drop("_h")
     return positive.unionByName(negative).withColumn("_o", F.xxhash64(key, F.lit(seed + 1))).orderBy("_o", key).drop("_o")
 
 
+def least_hashed(rows: DataFrame, wanted: int, key: str, few: int = 10_000) -> DataFrame:
+    """The wanted rows of least (_h, key), _h being hexadecimal text. Rows are counted by the next four digits until the group that holds the cut has few rows; groups below it are whole, and only that group is sorted."""
+    cut = ""
+    while True:
+        at = rows.where(F.col("_h").startswith(cut)) if cut else rows
+        groups = sorted(tuple(r) for r in at.groupBy(F.substring("_h", len(cut) + 1, 4)).count().collect())  # 65,536 at most
+        for digits, n in groups:
+            if wanted <= n:
+                break
+            wanted -= n
+        else:
+            return rows  # fewer than wanted
+        cut += digits
+        if n <= few or len(cut) >= 32:
+            within = rows.where(F.col("_h").startswith(cut)).orderBy("_h", key).limit(wanted)
+            return rows.where(F.col("_h") < cut).unionByName(within)
+
+
 def _preparation(columns: list[str]) -> Pipeline:
     filled = [f"{c}__filled" for c in columns]
     return Pipeline(
@@ -88,8 +104,10 @@ def train_models(features: DataFrame, labels: DataFrame | None, config: Config =
     x = prepare.transform(_doubles(features, columns)).select("account", "x").persist()
     supervised, balance = None, None
     if labels is not None:
-        labelled = x.join(labels, "account").persist()
+        labelled = x.join(labels, "account")
         balance = class_balance(labelled).first()
+        # Boosting runs some thousand small jobs over these rows: no more tasks than the rows are worth.
+        labelled = labelled.coalesce(max(1, (balance["positives"] + balance["negatives"]) // config.task_rows)).persist()
         if balance["classes"] >= 2 and balance["positives"] + balance["negatives"] >= config.least_training_rows:
             weighted = labelled.withColumn("weight", F.when(F.col("label") == 1, F.lit(balance["scale_pos_weight"])).otherwise(F.lit(1.0)))
             booster = GBTClassifier(

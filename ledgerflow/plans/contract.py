@@ -81,3 +81,4 @@ class Config:
     isolation_trees: int = 300
     isolation_rows: int = 256
     task_edges: int = 2_000_000  # a graph part up to this many edges may be one task's work
+    task_rows: int = 20_000  # training rows a task

@@ -8,7 +8,11 @@ from .queries import EXPLAINED, POWER_ROUNDS
 
 
 def _r(expression: str, name: str | None = None) -> str:
-    return f"case when ({expression}) = 0 then 0.0 else round({expression} + 1e-9, 6) end as {name or expression}"
+    return f"{_rounded(expression)} as {name or expression}"
+
+
+def _rounded(x: str) -> str:
+    return f"case when ({x}) = 0 then 0.0 when abs({x}) >= 1000 then round({x} + 1e-7, 3) else round({x} + 1e-9, 6) end"
 
 
 def _rs(*names: str) -> str:
@@ -87,7 +91,7 @@ DIRTY = """dirty as (select tx_id, case when tx_id % 28 = 0 then null when tx_id
   case when tx_id % 20 = 0 then 'nan' else from_account end as from_account,
   case when tx_id % 44 = 0 or tx_id % 52 = 0 then 0.0 else amount_received end as r, case when tx_id % 12 <> 0 then amount_paid end as p,
   case when tx_id % 36 = 0 or tx_id % 32 = 0 or tx_id % 16 = 0 then 0 else is_laundering end::int as is_laundering from tx), kept as (select * from dirty where timestamp is not null)"""
-LONG = f"long as (select account, feature, value from (select account, {', '.join(f'round({c}::double + 1e-9, 6) as {c}' for c in EXPLAINED)} from features) unpivot (value for feature in ({', '.join(EXPLAINED)})))"
+LONG = f"long as (select account, feature, value from (select account, {', '.join(f'({_rounded(c + "::double")})::double as {c}' for c in EXPLAINED)} from features) unpivot (value for feature in ({', '.join(EXPLAINED)})))"
 MAD = """mid as (select feature, median(value) as median from long group by feature),
   mad as (select feature, any_value(mid.median) as median, median(abs(value - mid.median)) as m from long join mid using (feature) group by feature),
   devs as (select feature, median, case when m = 0 then 1e-9 else m end as mad from mad)"""
@@ -98,6 +102,27 @@ BY_SCORE = """g as (select p, sum(y) as pos, sum(1 - y) as neg from m group by p
   c as (select p, pos, neg, sum(pos) over w as cp, sum(neg) over w as cn from g window w as (order by p desc rows between unbounded preceding and current row))"""
 _AUC = "sum(neg * (cp - pos + pos / 2.0)) / (sum(pos) * sum(neg))"
 _AP = "sum(pos * cp / (cp + cn)) / sum(pos)"
+# Power steps over neighbours and the node itself, until the summed change is small; none is 0 at the end only if that took over 200 steps.
+POWER = """nbs as (select distinct src, dst, false as own from (select src, dst from edges union select dst, src from edges) union all select account, account, true from accounts),
+  size as (select count(*) as n from accounts),
+  power(k, account, x, change) as (
+    select 0, account, 1.0::double / n, 1e300::double from accounts, size
+    union all
+    select k + 1, account, y / norm, sum(abs(y / norm - old)) over () from (
+      select any_value(k) as k, dst as account, sum(x) as y, sum(case when own then x end) as old, sqrt(sum(sum(x) * sum(x)) over ()) as norm
+      from power join nbs on src = account, size where change >= n * 1e-4 and k < 200 group by dst))"""
+# Walks of each length give distances, distances give the shortest paths, and a node is between s and t if its distances add up.
+PATHS = """links as (select src, dst from edges where src <> dst),
+  walk(s, v, d) as (select account, account, 0 from accounts union select s, dst, d + 1 from walk join links on src = v where d < 50),
+  dist as (select s, v, min(d) as d from walk group by s, v),
+  paths(s, v, d, p) as (
+    select account, account, 0, 1.0::double from accounts
+    union all
+    select p.s, e.dst, p.d + 1, sum(p.p) from paths p join links e on e.src = p.v join dist t on t.s = p.s and t.v = e.dst and t.d = p.d + 1 group by p.s, e.dst, p.d),
+  between_ as (
+    select a.v as account, sum(a.p * b.p / c.p) as x
+    from paths a join paths b on b.s = a.v join paths c on c.s = a.s and c.v = b.v and c.d = a.d + b.d
+    where a.s <> a.v and b.s <> b.v and a.s <> b.v group by a.v)"""
 CONF = "conf as (select count(*) filter (y = 0 and p < 0.5) as tn, count(*) filter (y = 0 and p >= 0.5) as fp, count(*) filter (y = 1 and p < 0.5) as fn, count(*) filter (y = 1 and p >= 0.5) as tp from m)"
 SCORES = (*PROXY, LABELS, MATCHED)
 
@@ -133,6 +158,9 @@ ORACLES = {
     "local_density": _with(f"select account, {_rs('local_density')} from density", ACCOUNTS, EDGES, UND, TRI, CLUSTER, DENSITY),
     "short_cycle_score": _with("select account, coalesce(n, 0)::double as short_cycle_score from accounts left join (select r.a as account, count(*) as n from reach r join reach q on r.a = q.b and r.b = q.a where r.a <> r.b group by r.a) using (account)", ACCOUNTS, EDGES, REACH),
     "eigenvector_k": _with(f"select account, {_r('x / sqrt(q)', 'x')} from x{POWER_ROUNDS}, (select sum(x * x) as q from x{POWER_ROUNDS})", ACCOUNTS, EDGES, _POWER),
+    "eigenvector": _with(f"select account, {_r('case when change < n * 1e-4 then x else 0.0 end', 'eigenvector_centrality')} from power, size where k = (select max(k) from power)", ACCOUNTS, EDGES, POWER),
+    "betweenness_exact": _with(f"select account, {_r('coalesce(x, 0) / greatest((n - 1) * (n - 2), 1)', 'betweenness_centrality')} from accounts left join between_ using (account), (select count(*) as n from accounts)", ACCOUNTS, EDGES, PATHS),
+    "downsample": _with("select tx_id, 1 as is_laundering from tx where is_laundering = 1 union all select tx_id, 0 from (select tx_id, row_number() over (order by md5(concat(tx_id::varchar, ':42')), tx_id) as r from tx where is_laundering = 0) where r <= 5 * (select count(*) from tx where is_laundering = 1)"),
     "minmax_scale": _with("select account, anomaly_score from scored", *PROXY),
     "risk_blend": _with("select account, risk_score from scored", *PROXY),
     "risk_thresholds": _with("select round(medium, 6) as medium, round(high, 6) as high from cut", *PROXY),
@@ -150,6 +178,13 @@ ORACLES = {
     "confusion_matrix": _with("select tn, fp, fn, tp from conf", *SCORES, CONF),
     "roc_auc": _with(f"select round({_AUC}, 6) as roc_auc from c", *SCORES, BY_SCORE),
     "average_precision": _with(f"select round({_AP}, 6) as average_precision from c", *SCORES, BY_SCORE),
+    "metric_table": _with(
+        f"""select unnest(['Precision', 'Recall', 'F1 Score', 'ROC AUC', 'PR AUC']) as metric,
+          unnest([round(case when tp + fp > 0 then tp / (tp + fp) else 0.0 end, 6), round(case when tp + fn > 0 then tp / (tp + fn) else 0.0 end, 6), round(case when tp > 0 then 2 * tp / (2 * tp + fp + fn) else 0.0 end, 6), round(auc, 6), round(ap, 6)]) as value
+          from conf, (select {_AUC} as auc, {_AP} as ap from c)""",
+        *SCORES, CONF, BY_SCORE,
+    ),
+    "confusion_table": _with("select 'Actual Non-Laundering' as actual, tn as predicted_non_laundering, fp as predicted_laundering from conf union all select 'Actual Laundering', fn, tp from conf", *SCORES, CONF),
     "feature_mad": _with(f"select feature, {_r('median')}, {_r('mad')} from devs", *FLOW, LONG, MAD),
     "explain_mad": _with("select account, rank::int as rank, feature, direction, round(deviation, 4) as deviation from ranked where rank <= 3", *FLOW, LONG, MAD, RANKED),
     "reason_text": _with(f"select account, concat({_PHRASE}, ' (', direction, ' than the portfolio median)') as reason from ranked where rank = 1", *FLOW, LONG, MAD, RANKED),

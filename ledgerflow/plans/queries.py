@@ -1,4 +1,4 @@
-"""Registered queries over the transactions view of the driver tables. Doubles are rounded to 6 places."""
+"""Registered queries over the transactions view of the driver tables. Doubles are rounded to 6 places, from 1000 on to 3: a double has some 15 digits, and sums of them fewer."""
 
 from __future__ import annotations
 
@@ -20,16 +20,22 @@ MODEL = Config()
 
 def tidy(df: DataFrame) -> DataFrame:
     """Doubles rounded, negative zero gone. The nudge keeps exact halves from going either way."""
-    return df.select([F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.round(F.col(c) + 1e-9, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    rounded = lambda x: F.when(x == 0, F.lit(0.0)).when(F.abs(x) >= 1000, F.round(x + 1e-7, 3)).otherwise(F.round(x + 1e-9, 6))
+    return df.select([rounded(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_view.transactions(spark, sf_dir)
 
 
+def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view's columns for features, written once, as several aggregations read them."""
+    return written(_tx(spark, sf_dir).select("tx_id", "timestamp", "from_account", "to_account", "amount_received", "is_laundering"), "transactions")
+
+
 def _proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored accounts from a deterministic proxy, so that report queries have SQL twins without a model."""
-    f = flows.tabular_features(_tx(spark, sf_dir)).select("account", "outgoing_amount_total", "incoming_amount_total")
+    f = flows.both_flows(_tx(spark, sf_dir)).select("account", "outgoing_amount_total", "incoming_amount_total")
     total = F.col("outgoing_amount_total") + F.col("incoming_amount_total")
     raw = f.select("account", (F.col("outgoing_amount_total") / (total + 1.0)).alias("supervised_probability"), total.alias("anomaly_raw"))
     out = risk.min_max(raw, "anomaly_raw", "anomaly_score")
@@ -107,15 +113,15 @@ def incoming_stats(spark, sf_dir):
 
 
 def counterparties(spark, sf_dir):
-    return flows.tabular_features(_tx(spark, sf_dir)).select("account", "unique_out_counterparties", "unique_in_counterparties", "total_unique_counterparties")
+    return flows.flow_features(_tx(spark, sf_dir)).select("account", "unique_out_counterparties", "unique_in_counterparties", "total_unique_counterparties")
 
 
 def concentration(spark, sf_dir):
-    return tidy(flows.tabular_features(_tx(spark, sf_dir)).select("account", "outgoing_concentration", "incoming_concentration"))
+    return tidy(flows.both_flows(_tx(spark, sf_dir)).select("account", "outgoing_concentration", "incoming_concentration"))
 
 
 def amount_entropy(spark, sf_dir):
-    return tidy(flows.tabular_features(_tx(spark, sf_dir)).select("account", "outgoing_entropy", "incoming_entropy"))
+    return tidy(flows.both_flows(_tx(spark, sf_dir)).select("account", "outgoing_entropy", "incoming_entropy"))
 
 
 def gap_stats(spark, sf_dir):
@@ -127,12 +133,12 @@ def relay_score(spark, sf_dir):
 
 
 def velocity(spark, sf_dir):
-    return tidy(flows.tabular_features(_tx(spark, sf_dir)).select("account", "tx_count", "velocity_7d"))
+    return tidy(flows.flow_features(_tx(spark, sf_dir)).select("account", "tx_count", "velocity_7d"))
 
 
 def ratios(spark, sf_dir):
     columns = ["in_out_degree_ratio", "in_out_amount_ratio", "cashflow_ratio", "fanout_ratio", "degree_balance", "amount_balance"]
-    return tidy(flows.tabular_features(_tx(spark, sf_dir)).select("account", *columns))
+    return tidy(flows.flow_features(_tx(spark, sf_dir)).select("account", *columns))
 
 
 def all_accounts(spark, sf_dir):
@@ -152,11 +158,11 @@ def daily_volume(spark, sf_dir):
 
 
 def account_features_tabular(spark, sf_dir):
-    return tidy(flows.tabular_features(_tx(spark, sf_dir)))
+    return tidy(flows.tabular_features(_narrow(spark, sf_dir)))
 
 
 def labeled_features(spark, sf_dir):
-    tx = _tx(spark, sf_dir)
+    tx = _narrow(spark, sf_dir)
     return tidy(flows.tabular_features(tx).join(flows.account_labels(tx), "account"))
 
 
@@ -274,7 +280,7 @@ def safe_quantile(spark, sf_dir):
 
 
 def classification_metrics(spark, sf_dir):
-    return tidy(evaluate.evaluate(_proxy(spark, sf_dir), flows.account_labels(_tx(spark, sf_dir))).select("precision", "recall", "f1", "roc_auc", "pr_auc"))
+    return tidy(_metrics(spark, sf_dir).select("precision", "recall", "f1", "roc_auc", "pr_auc"))
 
 
 def confusion_matrix(spark, sf_dir):
@@ -289,11 +295,23 @@ def average_precision(spark, sf_dir):
     return tidy(evaluate.average_precision(_matched(spark, sf_dir)))
 
 
+def _metrics(spark, sf_dir):
+    return evaluate.evaluate(_proxy(spark, sf_dir), flows.account_labels(_tx(spark, sf_dir)))
+
+
+def metric_table(spark, sf_dir):
+    return tidy(reports.metric_table(_metrics(spark, sf_dir)))
+
+
+def confusion_table(spark, sf_dir):
+    return reports.confusion_table(_metrics(spark, sf_dir))
+
+
 EXPLAINED = ["outgoing_amount_total", "incoming_amount_total", "outgoing_amount_mean", "incoming_amount_mean", "in_degree", "out_degree", "tx_count", "amount_balance"]
 
 
 def _explained(spark, sf_dir):
-    return written(tidy(flows.tabular_features(_tx(spark, sf_dir)).select("account", *EXPLAINED)), "explained")
+    return written(tidy(flows.flow_features(_tx(spark, sf_dir)).select("account", *EXPLAINED)), "explained")
 
 
 def feature_mad(spark, sf_dir):
@@ -336,6 +354,6 @@ QUERIES = {
         outgoing_stats, incoming_stats, counterparties, concentration, amount_entropy, gap_stats, relay_score, velocity, ratios, all_accounts, account_labels, class_balance, daily_volume, labeled_features,
         edge_aggregate, edge_history, node_order, undirected_edges, degrees, clustering, local_density, short_cycle_score, eigenvector_k, eigenvector, betweenness, betweenness_exact, community_size,
         minmax_scale, risk_blend, risk_thresholds, risk_tier, tier_counts, portfolio_summary, alert_feed, risk_curve, safe_quantile,
-        classification_metrics, confusion_matrix, roc_auc, average_precision, feature_mad, explain_mad, reason_text, scored_accounts, model_metrics, explain_shap,
+        classification_metrics, confusion_matrix, roc_auc, average_precision, metric_table, confusion_table, feature_mad, explain_mad, reason_text, scored_accounts, model_metrics, explain_shap,
     )
 } | {"account_features": features_36}

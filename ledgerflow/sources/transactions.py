@@ -16,7 +16,9 @@ _TEXTS = ("from_bank", "to_bank", "receiving_currency", "payment_currency", "pay
 
 
 def find_files(path: str) -> list[str]:
-    """A file itself; of a folder the *_trans.csv files, then *trans.csv, then *.csv, each file once and sorted within its pattern."""
+    """A file itself; of a folder the *_trans.csv files, then *trans.csv, then *.csv, each file once and sorted within its pattern. A path with a scheme is looked up where Spark reads it."""
+    if "://" in path:
+        return _find_stored(path)
     p = Path(path)
     if p.is_file():
         return [str(p)]
@@ -26,6 +28,19 @@ def find_files(path: str) -> list[str]:
     return list(found)
 
 
+def _find_stored(path: str) -> list[str]:
+    spark = SparkSession.active()
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    store = new(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(new(path)) and store.getFileStatus(new(path)).isFile():
+        return [path]
+    found: dict[str, None] = {}
+    for pattern in ("*_trans.csv", "*trans.csv", "*.csv"):
+        hits = store.globStatus(new(f"{path.rstrip('/')}/{pattern}")) or []
+        found.update(dict.fromkeys(sorted(str(x.getPath().toString()) for x in hits if x.isFile())))
+    return list(found)
+
+
 def scan_csv(spark: SparkSession, path) -> DataFrame:
     """Every column as string under its canonical name. The header line is read by itself, as readers rename repeated headers."""
     header = spark.read.option("header", False).csv(path).limit(1).collect()
