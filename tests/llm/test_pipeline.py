@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from test_near_copies import plain_kept
 from test_text_operators import plain_components
 
 import corpus_pipeline
-from ledgerflow.llm import bpe, decontaminate, exact_dedup, quality, simhash
+from ledgerflow.llm import bpe, decontaminate, exact_dedup, quality
 
 
 @pytest.fixture(scope="module")
@@ -55,25 +56,7 @@ def test_stages(spark, folder):
     assert {r["doc_id"] for r in exact.collect()} == want
 
     near = stage["near"](spark, exact, folder)
-    ids = sorted(want)
-    first, second = ([simhash.fingerprint(texts[i], 5, s) for i in ids] for s in (42, 43))
-    both = [a | b << 64 for a, b in zip(first, second)]
-    up = {}
-    for a in range(len(ids)):
-        for b in range(a):
-            if (first[a] ^ first[b]).bit_count() <= 10 and (both[a] ^ both[b]).bit_count() <= 20:
-                up.setdefault(a, set()).add(b)
-                up.setdefault(b, set()).add(a)
-    kept, seen = set(), set()
-    for a in range(len(ids)):
-        if a not in seen:
-            kept.add(ids[a])
-            front = [a]
-            while front:
-                x = front.pop()
-                if x not in seen:
-                    seen.add(x)
-                    front += up.get(x, ())
+    kept = plain_kept([(i, texts[i]) for i in sorted(want)])
     assert {r["doc_id"] for r in near.collect()} == kept
     assert all(i in kept for i in range(400) if i in want)
 
