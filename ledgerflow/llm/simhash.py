@@ -383,13 +383,26 @@ def _id_links(prints: DataFrame, reps: DataFrame, names: list[str], key: str) ->
     return rows.join(anew(least, "_key", "_least"), F.col("_key") == F.col("_least")).select(F.col("rep").alias("a"), "b")
 
 
-def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5) -> DataFrame:
-    """The rows of df with one document of each group left: the one with the least id. A group is a component of links between texts whose word shingles have a Jaccard similarity of 0.8 or more, decided on the shingles: fingerprints only estimate it.
+def proposed_pairs(df: DataFrame, text: str, key: str, words: int, most_bits: int) -> DataFrame:
+    """Pairs of ids (a, b) whose fingerprints are equal or in one group of near fingerprints: each id with the least of its fingerprint, and those with the least of their group in a task. They grow with the rows, not with the square of a group."""
+    prints = written(fingerprints(df.where(F.col(key).isNotNull()), text, key, words), "near-fingerprints")
+    reps = written(prints.groupBy("f0").agg(F.min(key).alias("rep")), "near-classes")
+    same = prints.join(anew(reps, "f0", "_f0"), F.col("f0") == F.col("_f0")).select(F.col(key).alias("a"), F.col("rep").alias("b")).where("a <> b")
+    return written(near_links(reps.select("rep", "f0"), most_bits).unionByName(same), "near-proposed")
+
+
+def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, most_bits: int = 6) -> DataFrame:
+    """The rows of df with one document of each group left: the one with the least id. A group is a component of links between texts whose word shingles have a Jaccard similarity of 0.8 or more.
+
+    Fingerprints that differ in at most most_bits bits propose pairs, and each
+    is decided on the shingles. A fingerprint only estimates the similarity, so
+    pairs that it misses are found by shingle_join and decided in the same way.
 
     Rows without an id stay. An id with several texts is one node: its rows
     stay or go together. Null and empty texts are copies of each other.
     Repeated rows of the id that stays all stay. An empty table gives an empty
     result; further columns are kept, whatever their names.
     """
-    gone = near_components(df, text, key, words).where("node <> component").select(F.col("node").alias("__gone"))
+    pairs = proposed_pairs(df, text, key, words, most_bits)
+    gone = near_components(df, text, key, words, pairs).where("node <> component").select(F.col("node").alias("__gone"))
     return df.join(narrow(written(gone, "near-gone")), F.col(key).cast("long") == F.col("__gone"), "left_anti").select(df.columns)
