@@ -1,4 +1,4 @@
-"""Pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, found without loss by prefix filtering.
+"""Pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more: those with near fingerprints come from a search over these, all others are found without loss by prefix filtering.
 
 A text's set holds the XXH64 values of its word shingles. Under one order of
 all shingles, two sets of similarity t or more share one of their first
@@ -15,10 +15,14 @@ member of that prefix that the other set has lies in the other's prefix too. A
 passage that many documents share seldom passes the second bound. The pairs
 left are decided on the whole sets.
 
-Dense groups: first come the pairs that a search by fingerprints proposes, and
-all texts at a shingle are held against the least and the greatest id there,
-which is linear; together they join most of a group. Then texts at a shingle
-meet only across the components so found. Links therefore have the
+Fingerprints: a pair within the bits of the search (simhash.NearSearch) is
+never taken from a shingle, so each pair has one way to be found.
+
+Dense groups: first come the pairs that the search proposes, and all texts at a
+shingle are held against the least and the greatest id there, which is linear;
+together they join most of a group. Then texts meet only across the components
+so found: the search gives the pairs of near fingerprints that are still in
+different ones, and texts at a shingle give the rest. Links therefore have the
 components of all pairs, but are not all pairs.
 
 Words are those of simhash.fingerprint: fewer than a shingle, and the whole
@@ -99,22 +103,22 @@ def _commonness(rows: DataFrame, words: int) -> np.ndarray:
     return out
 
 
-def _prefixes(rows: DataFrame, words: int, commonness: np.ndarray) -> DataFrame:
-    """id, n (size of the set), shingles: the members, in the order, of which a near copy must share one."""
+def _prefixes(rows: DataFrame, words: int, commonness: np.ndarray, search) -> DataFrame:
+    """id, f (fingerprint), n (size of the set), shingles: the members, in the order, of which a near copy must share one."""
     known = rows.sparkSession.sparkContext.broadcast(commonness)
 
     def run(batches):
         table = known.value
         for batch in small_batches(batches, 128):
-            sizes, found = [], []
-            for t in batch.column(1).to_pylist():
+            sizes, found, texts = [], [], batch.column(1).to_pylist()
+            for t in texts:
                 s = shingle_set(t, words)
                 s = s[np.lexsort((s, table[s & (len(table) - 1)]))]
                 sizes.append(len(s))
                 found.append(s[: len(s) - (4 * len(s) + 4) // 5 + 1])
-            yield {"id": batch.column(0), "n": sizes, "shingles": _lists(found)}
+            yield {"id": batch.column(0), "f": search.prints(texts), "n": sizes, "shingles": _lists(found)}
 
-    return mapped(rows, run, "id long, n int, shingles array<long>")
+    return mapped(rows, run, "id long, f long, n int, shingles array<long>")
 
 
 def _can_reach(a: str, b: str):
@@ -154,21 +158,32 @@ def _verified(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     return written(found.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "near-links")
 
 
-def near_components(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, proposed: DataFrame | None = None) -> DataFrame:
-    """(node, component) for every id that has a link: component is the least id reachable over pairs of similarity 0.8 or more. Pairs of ids (a, b) that another search proposes are decided first, like all others on the whole sets."""
+def _close(placed: DataFrame, proposed: DataFrame, search) -> DataFrame:
+    """Pairs of ids (a, b) in different components whose fingerprints are near: the search gives the fingerprints, and of their texts those are held against each other that can be near copies by the shingle they share."""
+    near = placed.join(_ids(proposed), F.col("x.id") == F.col("id"), "left_semi")
+    near = written(near.select("shingle", "x", "part", F.col("x.f").alias("f")), "close-shingles")
+    prints = search.across(near.groupBy("f").agg(F.min("part").alias("low"), F.max("part").alias("high")))
+    one = near.select("shingle", "x", "part", F.col("f").alias("a"))
+    other = near.select("shingle", F.col("x").alias("y"), F.col("part").alias("_other"), F.col("f").alias("b"))
+    found = prints.join(one, "a").join(other, ["shingle", "b"]).where("part <> _other and x.id <> y.id").where(_can_reach("x", "y"))
+    return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def near_components(df: DataFrame, search, text: str = "text", key: str = "doc_id", words: int = 5) -> DataFrame:
+    """(node, component) for every id that has a link: component is the least id reachable over pairs of similarity 0.8 or more. search (simhash.NearSearch) finds the pairs whose fingerprints are near; all pairs are decided on the whole sets."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    prefixes = written(_prefixes(rows, words, _commonness(rows, words)), "prefixes")
-    places = prefixes.select("id", "n", F.posexplode("shingles").alias("pos", "shingle"))
+    prefixes = written(_prefixes(rows, words, _commonness(rows, words), search), "prefixes")
+    proposed = search.proposed(prefixes.select("id", "f"))
+    beyond = F.bit_count(F.col("x.f").bitwiseXOR(F.col("y.f"))) > search.most_bits
+    places = prefixes.select("id", "f", "n", F.posexplode("shingles").alias("pos", "shingle"))
     met = places.groupBy("shingle").count().where("count > 1").drop("count")
     at = lambda one: F.col("shingle") == F.col(one)
-    shared = written(places.join(anew(met, "shingle", "_met"), at("_met"), "left_semi").select("shingle", F.struct("id", "n", "pos").alias("x")), "shared-shingles")
+    shared = written(places.join(anew(met, "shingle", "_met"), at("_met"), "left_semi").select("shingle", F.struct("id", "n", "pos", "f").alias("x")), "shared-shingles")
 
     ends = shared.groupBy("shingle").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     ends = shared.join(anew(ends, "shingle", "_end"), at("_end")).select("x", F.explode(F.array("low", "high")).alias("y"))
-    first = ends.where("x.id <> y.id").where(_can_reach("x", "y")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    if proposed is not None:
-        first = first.unionByName(proposed.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    links = _verified(rows, _possible(prefixes, first), words)
+    first = ends.where("x.id <> y.id").where(_can_reach("x", "y")).where(beyond).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    links = _verified(rows, _possible(prefixes, first.unionByName(proposed)), words)
 
     parts = connected_components(links)
     placed = shared.join(parts, F.col("x.id") == F.col("node"), "left").select("shingle", "x", F.coalesce("component", "x.id").alias("part"))
@@ -180,6 +195,6 @@ def near_components(df: DataFrame, text: str = "text", key: str = "doc_id", word
     across = groups.alias("p").join(groups.alias("q"), F.col("p.shingle") == F.col("q.shingle")).where("p.part < q.part and 9 * least(p.left, q.left) >= 4 * (p.n + q.n)")
     across = across.select("p.shingle", "p.part", F.col("q.part").alias("_other"))
     other = placed.select("shingle", F.col("x").alias("y"), F.col("part").alias("_other"))
-    rest = placed.join(across, ["shingle", "part"]).join(other, ["shingle", "_other"]).where("x.id <> y.id").where(_can_reach("x", "y"))
-    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    rest = placed.join(across, ["shingle", "part"]).join(other, ["shingle", "_other"]).where("x.id <> y.id").where(_can_reach("x", "y")).where(beyond)
+    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).unionByName(_close(placed, proposed, search))
     return connected_components(links.unionByName(_verified(rows, _possible(prefixes, rest), words)))

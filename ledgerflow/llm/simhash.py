@@ -24,6 +24,7 @@ fingerprints ever reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -214,6 +215,28 @@ def bucket_links(group: np.ndarray, own: np.ndarray, f: np.ndarray, ids: np.ndar
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def bucket_pairs(group: np.ndarray, own: np.ndarray, f: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within the runs of equal group numbers that differ in at most bits bits, block by block, but for pairs whose labels low to high are one and the same. own: as in bucket_links."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    ends = np.r_[starts[1:], len(group)]
+    size = ends - starts
+    unlike = lambda x, y: np.maximum(high[x], high[y]) > np.minimum(low[x], low[y])
+    idx = np.flatnonzero(np.repeat(size <= 32, size))
+    stop = np.repeat(ends, size)
+    for k in range(1, 32):
+        idx = idx[idx + k < stop[idx]]
+        ok = (own[idx] | own[idx + k]) & unlike(idx, idx + k) & (np.bitwise_count(f[idx] ^ f[idx + k]) <= bits)
+        yield idx[ok], idx[ok] + k
+    for s, e in zip(starts[size > 32], ends[size > 32]):
+        rows = s + np.argsort(~own[s:e], kind="stable")
+        mine, g, step = int(own[s:e].sum()), f[rows], max(1, PAIRS // len(rows))
+        for at in range(0, mine, step):
+            x, y = np.nonzero(np.bitwise_count(g[at : min(mine, at + step), None] ^ g[None, at:]) <= bits)
+            x, y = rows[x[x < y] + at], rows[y[x < y] + at]
+            ok = unlike(x, y)
+            yield x[ok], y[ok]
+
+
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     """The same components as stars around each least id."""
     up: dict[int, int] = {}
@@ -304,54 +327,81 @@ def _deal_anew(rows: DataFrame, names: list[str], bits: int, bucket: int) -> Dat
     return done
 
 
-def near_links(reps: DataFrame, most_bits: int, most_total: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """reps: rep (a distinct id), f0 and further fingerprints, one row a distinct tuple. Links (a, b) whose components are those of all pairs that differ in at most most_bits bits of f0 and most_total bits altogether."""
-    names = [c for c in reps.columns if c != "rep"]
-    total = most_bits if most_total is None else most_total
+def _dealt(reps: DataFrame, names: list[str], most_bits: int, bucket: int) -> DataFrame | None:
+    """The signatures of reps (rep, and names, of which the first is f0), each bucket's rows together in a task; None if there are no two reps."""
     n = reps.count()
-    sample = np.array([r[0] for r in reps.select("f0").orderBy(F.xxhash64("f0")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
     if n < 2:
-        return reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+        return None
+    sample = np.array([r[0] for r in reps.select("f0").orderBy(F.xxhash64("f0")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
     parts, limits = plan_thresholds(sample, n, most_bits)
     kept = [(p, t) for p, t in zip(parts, limits) if t >= 0]
     parts, limits = [p for p, _ in kept], [t for _, t in kept]
     rows = _deal_anew(written(_signatures(reps.select("rep", *names), names, parts, limits), "signatures"), names, most_bits, bucket)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket")
 
-    def run(batches):
-        held: dict[str, np.ndarray] | None = None
 
-        def links(t):
-            return bucket_links(t["bucket"], t["own"], np.stack([t[x].view(np.uint64) for x in names], 1), t["rep"], most_bits, total)
+def _whole_buckets(batches) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of the sorted signatures, cut only between buckets."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        t = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in batch.schema.names}
+        if held is not None:
+            t = {x: np.concatenate([held[x], t[x]]) for x in t}
+        last = t["bucket"] == t["bucket"][-1]  # the last bucket may go on in the next batch
+        cut = len(last) - int(last.sum())
+        held = {x: v[cut:] for x, v in t.items()}
+        if cut:
+            yield {x: v[:cut] for x, v in t.items()}
+    if held is not None:
+        yield held
+
+
+def near_links(reps: DataFrame, most_bits: int, most_total: int | None = None, bucket: int = BUCKET, stars: bool = True) -> DataFrame:
+    """reps: rep (a distinct id), f0 and further fingerprints, one row a distinct tuple. Links (a, b) whose components are those of all pairs that differ in at most most_bits bits of f0 and most_total bits altogether. Without stars every link is such a pair, and only dense buckets give fewer than all of theirs; a pair may come from several buckets."""
+    names = [c for c in reps.columns if c != "rep"]
+    total = most_bits if most_total is None else most_total
+    dealt = _dealt(reps, names, most_bits, bucket)
+    if dealt is None:
+        return reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
 
+    def run(batches):
         found_a, found_b, have = [], [], 0
-        for batch in batches:
-            t = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in batch.schema.names}
-            if held is not None:
-                t = {x: np.concatenate([held[x], t[x]]) for x in t}
-            last = t["bucket"] == t["bucket"][-1]  # the last bucket may go on in the next batch
-            cut = len(last) - int(last.sum())
-            held = {x: v[cut:] for x, v in t.items()}
-            if cut:
-                a, b = links({x: v[:cut] for x, v in t.items()})
-                found_a.append(a)
-                found_b.append(b)
-                have += len(a)
+        for t in _whole_buckets(batches):
+            a, b = bucket_links(t["bucket"], t["own"], np.stack([t[x].view(np.uint64) for x in names], 1), t["rep"], most_bits, total)
+            if not stars:
+                yield {"a": a, "b": b}
+                continue
+            found_a.append(a)
+            found_b.append(b)
+            have += len(a)
             if have > 1_000_000:
                 a, b = merged(np.concatenate(found_a), np.concatenate(found_b))
                 yield {"a": a, "b": b}
                 found_a, found_b, have = [], [], 0
-        if held is not None:
-            a, b = links(held)
-            found_a.append(a)
-            found_b.append(b)
         if found_a:
             a, b = merged(np.concatenate(found_a), np.concatenate(found_b))
             yield {"a": a, "b": b}
 
-    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket")
     return mapped(dealt, run, "a long, b long")
 
 
+def near_pairs(prints: DataFrame, most_bits: int, bucket: int = BUCKET) -> DataFrame:
+    """prints: f (distinct fingerprints), low and high (least and greatest label of the texts that have it). All pairs (a, b) of fingerprints that differ in at most most_bits bits, of one with itself too, unless all their texts have one label; a pair may come from several buckets."""
+    reps = written(prints.select(F.col("low").alias("rep"), F.col("f").alias("f0"), "high"), "labelled-fingerprints")
+    same = reps.where("rep < high").select(F.col("f0").alias("a"), F.col("f0").alias("b"))
+    dealt = _dealt(reps, ["f0", "high"], most_bits, bucket)
+    if dealt is None:
+        return same
+
+    def run(batches):
+        for t in _whole_buckets(batches):
+            for x, y in bucket_pairs(t["bucket"], t["own"], t["f0"].view(np.uint64), t["rep"], t["high"], most_bits):
+                if len(x):
+                    yield {"a": t["f0"][x], "b": t["f0"][y]}
+
+    return mapped(dealt, run, "a long, b long").unionByName(same)
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, most_bits: int = 4, seeds: tuple[int, ...] = (42,), most_total: int | None = None) -> DataFrame:
     """One row a row of df: key, f0 (and further fingerprints), component_id: the least id reachable over links of near fingerprints, itself included.
 
@@ -383,26 +433,40 @@ def _id_links(prints: DataFrame, reps: DataFrame, names: list[str], key: str) ->
     return rows.join(anew(least, "_key", "_least"), F.col("_key") == F.col("_least")).select(F.col("rep").alias("a"), "b")
 
 
-def proposed_pairs(df: DataFrame, text: str, key: str, words: int, most_bits: int) -> DataFrame:
-    """Pairs of ids (a, b) whose fingerprints are equal or in one group of near fingerprints: each id with the least of its fingerprint, and those with the least of their group in a task. They grow with the rows, not with the square of a group."""
-    prints = written(fingerprints(df.where(F.col(key).isNotNull()), text, key, words), "near-fingerprints")
-    reps = written(prints.groupBy("f0").agg(F.min(key).alias("rep")), "near-classes")
-    same = prints.join(anew(reps, "f0", "_f0"), F.col("f0") == F.col("_f0")).select(F.col(key).alias("a"), F.col("rep").alias("b")).where("a <> b")
-    return written(near_links(reps.select("rep", "f0"), most_bits).unionByName(same), "near-proposed")
+class NearSearch:
+    """The part of the near stage that is decided by fingerprints: every pair of texts in which they differ in at most most_bits bits. shingle_join.near_components takes such pairs from here alone."""
+
+    def __init__(self, words: int, most_bits: int):
+        self.words, self.most_bits = words, most_bits
+
+    def prints(self, texts: list[str | None]) -> np.ndarray:
+        return np.array([fingerprint(t, self.words) for t in texts], np.uint64).view(np.int64)
+
+    def proposed(self, prints: DataFrame) -> DataFrame:
+        """prints: id, f. Pairs of ids (a, b), each id with the least of its fingerprint, and those least ids where fingerprints are near; dense buckets give a spanning forest. Every id that has a text near another one's, or the least of its fingerprint, is in a pair."""
+        reps = written(prints.groupBy("f").agg(F.min("id").alias("rep")), "near-classes")
+        same = prints.join(anew(reps, "f", "_f"), F.col("f") == F.col("_f")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        # An id with several texts stands for several fingerprints.
+        near = near_links(reps.select("rep", F.col("f").alias("f0")), self.most_bits, stars=False)
+        return written(near.unionByName(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-proposed")
+
+    def across(self, prints: DataFrame) -> DataFrame:
+        """prints: f, low, high (components of the texts that have it). The pairs of fingerprints (a, b) of which texts in different components are still to be decided."""
+        return written(near_pairs(prints, self.most_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-across")
 
 
 def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, most_bits: int = 6) -> DataFrame:
     """The rows of df with one document of each group left: the one with the least id. A group is a component of links between texts whose word shingles have a Jaccard similarity of 0.8 or more.
 
-    Fingerprints that differ in at most most_bits bits propose pairs, and each
-    is decided on the shingles. A fingerprint only estimates the similarity, so
-    pairs that it misses are found by shingle_join and decided in the same way.
+    Pairs whose fingerprints differ in at most most_bits bits are found by the
+    search over fingerprints and by nothing else; each is decided on the
+    shingles. A fingerprint only estimates the similarity, so pairs beyond
+    those bits are found by shingle_join and decided in the same way.
 
     Rows without an id stay. An id with several texts is one node: its rows
     stay or go together. Null and empty texts are copies of each other.
     Repeated rows of the id that stays all stay. An empty table gives an empty
     result; further columns are kept, whatever their names.
     """
-    pairs = proposed_pairs(df, text, key, words, most_bits)
-    gone = near_components(df, text, key, words, pairs).where("node <> component").select(F.col("node").alias("__gone"))
+    gone = near_components(df, NearSearch(words, most_bits), text, key, words).where("node <> component").select(F.col("node").alias("__gone"))
     return df.join(narrow(written(gone, "near-gone")), F.col(key).cast("long") == F.col("__gone"), "left_anti").select(df.columns)

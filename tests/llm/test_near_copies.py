@@ -81,3 +81,47 @@ def test_odd_texts(spark):
     # 3 has two texts, so its components are one; rows without an id stay.
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, k) for k in (0, 3, 3, 3, 4, 5, 6, 9, 10, 11, 12)] + [(True, 0), (True, 0)]
     assert simhash.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def reach(rows, bits=6):
+    """Pairs of ids (a, b), a < b, whose fingerprints of five-word shingles differ in at most bits bits."""
+    prints = [(i, simhash.fingerprint(t, 5)) for i, t in rows]
+    return {(min(i, j), max(i, j)) for k, (i, f) in enumerate(prints) for j, g in prints[:k] if (f ^ g).bit_count() <= bits}
+
+
+def test_fingerprints_decide_what_is_kept(spark, monkeypatch):
+    """The pairs within reach of the fingerprints come from their search alone: what it doesn't give is not found by shingles."""
+    rows = list(enumerate(edited(6)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, near = {i: plain_set(t) for i, t in rows}, reach(rows)
+    alike = [(j, i) for i in sets for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert near & set(alike) and set(alike) - near  # either way has its part
+    assert {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()} == plain_kept(rows)
+
+    monkeypatch.setattr(simhash, "bucket_links", lambda group, own, f, ids, *_: (ids[:0], ids[:0]))
+    up = {i: i for i in sets}
+    for j, i in alike:
+        if (j, i) not in near:
+            x, y = sorted((up[i], up[j]))
+            up = {k: x if v == y else v for k, v in up.items()}
+    same = {t: min(i for i, u in rows if simhash.fingerprint(u, 5) == simhash.fingerprint(t, 5)) for _, t in rows}
+    assert all(same[t] == i for i, t in rows)
+    without = {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()}
+    assert without == {i for i in up if up[i] == i} != plain_kept(rows)
+
+
+def test_near_fingerprints_of_unlike_texts(spark, monkeypatch):
+    """Texts of one repeated word and a few of their own: a dense bucket of near and equal fingerprints, in which few pairs are near copies."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(50):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 40))]
+        texts += [own, own[:-1] + ["end"], [*own, "more"]][: rng.randrange(1, 4)]
+    rows = [(k, " ".join(["spam"] * 2000 + t)) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    assert len(reach(rows)) > 4 * len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = {}
+    monkeypatch.setattr(simhash, "written", lambda df, name: (out := shared.written(df, name), made.setdefault(name, out.count()))[0])
+    assert {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()} == plain_kept(sorted(rows))
+    assert made["near-across"]
