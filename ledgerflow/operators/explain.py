@@ -6,12 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.risk import contribution_text, deviation_text
+from .booster import Booster
 from .learning import Artifacts, prepared
 from .quantiles import quantiles
 
@@ -59,82 +59,170 @@ def explain_deviation(features: DataFrame, accounts: DataFrame | str | None = No
 # ---- Shapley values
 
 
+ROWS = 4096  # a batch of rows whose columns stay in the processor's cache
+MOST_BITS = 11  # splits whose outcomes are tabled together
+
+
 class TreePaths:
     """Every leaf of every tree as the conditions on its path, by feature: bounds, and the share of training weight that follows the path at the feature's splits."""
 
     def __init__(self, paths: list[tuple[float, list[tuple[int, float, float, float]]]], base: float):
         self.paths, self.base = paths, base
+        self.tables: list[tuple[list[tuple[int, float]], list[int], np.ndarray]] = []
+        self.rest: list[int] = []
 
     @classmethod
-    def of(cls, model: PipelineModel) -> TreePaths:
-        booster = model.stages[-1]
-        paths, base = [], 0.0
-        for tree, weight in zip(booster.trees, booster.treeWeights):
-            for value, cover, conditions in _leaves(tree._java_obj if hasattr(tree, "_java_obj") else tree._call_java("rootNode")):
-                paths.append((weight * value, conditions))
-                base += weight * value * cover
-        return cls(paths, base)
+    def of(cls, model: Booster) -> TreePaths:
+        paths, base, blocks = [], 0.0, []
+        for tree in model.trees:
+            for leaves in _blocks(tree):
+                blocks.append((len(paths), leaves))
+                for value, cover, path in leaves:
+                    paths.append((value, _merged(path)))
+                    base += value * cover
+        out = cls(paths, base)
+        out._tabulate(blocks)
+        return out
 
-    def values(self, x: np.ndarray) -> np.ndarray:
-        """Path-dependent Shapley values of the margin, a row a row of x.
+    def _tabulate(self, blocks) -> None:
+        """tables: for the leaves of a small subtree, the splits on their paths, the features, and what each feature gets in each of the 2 ** splits outcomes (bit i: the row goes right at split i). rest: leaves with too many splits for that."""
+        shares = self.shares()
+        for first, leaves in blocks:
+            splits = list(dict.fromkeys((f, cut) for _, _, path in leaves for f, cut, _, _ in path))
+            if len(splits) > MOST_BITS:
+                self.rest += range(first, first + len(leaves))
+                continue
+            cases = np.arange(2 ** len(splits))
+            right = {split: cases >> i & 1 == 1 for i, split in enumerate(splits)}
+            features = list(dict.fromkeys(f for f, _ in splits))
+            table = np.zeros((len(features), len(cases)))
+            for k, (_, _, path) in enumerate(leaves, first):
+                place = {f: i for i, (f, _, _, _) in enumerate(self.paths[k][1])}
+                passed = np.ones((len(place), len(cases)), bool)
+                for f, cut, goes, _ in path:
+                    passed[place[f]] &= right[f, cut] == goes
+                case = (passed << np.arange(len(place))[:, None]).sum(0, dtype=np.intp)
+                for f, i in place.items():
+                    table[features.index(f)] += shares[k][i].take(case)
+            if features:
+                self.tables.append((splits, features, table))
+
+    def shares(self) -> list[np.ndarray]:
+        """Of each leaf, what each of its m features gets in each of the 2 ** m cases of conditions that a row passes: (feature, case), case having bit i where condition i is passed.
 
         A leaf's game over its path's features multiplies, for each feature,
         1 or 0 (the row passes its conditions) inside a coalition and the
         cover share outside. Coalitions are summed by size with one polynomial
         product a leaf, so this is exact and polynomial in the path length.
+        All leaves of as many features are worked out together.
         """
-        out = np.zeros_like(x, dtype=float)
-        for value, conditions in self.paths:
-            m = len(conditions)
-            inside = np.stack([(x[:, f] > low) & (x[:, f] <= high) for f, low, high, _ in conditions], 1).astype(float) if m else None
-            weights = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
-            for i in range(m):
-                poly = np.zeros((len(x), m))
-                poly[:, 0] = 1.0
-                for j in range(m):
-                    if j != i:
-                        shifted = np.zeros_like(poly)
-                        shifted[:, 1:] = poly[:, :-1] * inside[:, j : j + 1]
-                        poly = poly * conditions[j][3] + shifted
-                out[:, conditions[i][0]] += value * (inside[:, i] - conditions[i][3]) * (poly @ np.array(weights))
+        out: list = [np.zeros((0, 1))] * len(self.paths)
+        by: dict[int, list[int]] = {}
+        for k, (_, conditions) in enumerate(self.paths):
+            if len(conditions) <= MOST_BITS:
+                by.setdefault(len(conditions), []).append(k)
+        for m, every in by.items():
+            inside = (np.arange(2**m)[None, :] >> np.arange(m)[:, None] & 1).astype(float)
+            weights = np.array([math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)])
+            for some in (every[k : k + 1024] for k in range(0, len(every) if m else 0, 1024)):
+                share = np.array([[c[3] for c in self.paths[k][1]] for k in some])
+                value = np.array([self.paths[k][0] for k in some])
+                table = np.empty((len(some), m, 2**m))
+                for i in range(m):
+                    poly = np.zeros((len(some), 2**m, m))
+                    poly[:, :, 0] = 1.0
+                    for j in range(m):
+                        if j != i:
+                            shifted = np.zeros_like(poly)
+                            shifted[:, :, 1:] = poly[:, :, :-1] * inside[j][None, :, None]
+                            poly = poly * share[:, j, None, None] + shifted
+                    table[:, i] = value[:, None] * (inside[i][None, :] - share[:, i, None]) * (poly @ weights)
+                for k, t in zip(some, table):
+                    out[k] = t
         return out
 
-
-def _leaves(root):
-    """(prediction, cover share, merged conditions) of a tree's leaves, through the model's node objects."""
-    top = root.rootNode() if hasattr(root, "rootNode") else root
-
-    def weight(node):
-        return float(node.impurityStats().count())
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """Path-dependent Shapley values of the margin, a row a row of x, looked up by the outcomes of the splits."""
+        out = np.zeros((x.shape[1], len(x)))
+        for start in range(0, len(x), ROWS):
+            part = np.ascontiguousarray(x[start : start + ROWS].T)
+            to, right = out[:, start : start + ROWS], {}
+            for splits, features, table in self.tables:
+                case = np.zeros(part.shape[1], np.uint16)
+                for i, (f, cut) in enumerate(splits):
+                    goes = right.get((f, cut))
+                    if goes is None:
+                        goes = right[f, cut] = (part[f] > cut).astype(np.uint16)
+                    case |= goes << i
+                case = case.astype(np.intp)
+                for f, gets in zip(features, table):
+                    to[f] += gets.take(case, mode="clip")
+        for k in self.rest:
+            self._by_rows(x, *self.paths[k], out)
+        return out.T
+
+    @staticmethod
+    def _by_rows(x: np.ndarray, value: float, conditions, out: np.ndarray) -> None:
+        """The same for one leaf, with the products over the rows."""
+        m = len(conditions)
+        inside = np.stack([(x[:, f] > low) & (x[:, f] <= high) for f, low, high, _ in conditions], 1).astype(float)
+        weights = np.array([math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)])
+        for i in range(m):
+            poly = np.zeros((len(x), m))
+            poly[:, 0] = 1.0
+            for j in range(m):
+                if j != i:
+                    shifted = np.zeros_like(poly)
+                    shifted[:, 1:] = poly[:, :-1] * inside[:, j : j + 1]
+                    poly = poly * conditions[j][3] + shifted
+            out[conditions[i][0]] += value * (inside[:, i] - conditions[i][3]) * (poly @ weights)
+
+
+def _merged(path) -> list[tuple[int, float, float, float]]:
+    """The conditions of a path of (feature, cut, goes right, share), by feature."""
+    merged: dict[int, list[float]] = {}
+    for f, cut, right, share in path:
+        low, high, before = merged.setdefault(f, [-math.inf, math.inf, 1.0])
+        merged[f] = [max(low, cut) if right else low, high if right else min(high, cut), before * share]
+    return [(f, *v) for f, v in merged.items()]
+
+
+def _blocks(tree: tuple[np.ndarray, ...]) -> list[list]:
+    """A tree's leaves as (value, cover share, path of (feature, cut, goes right, share)), in lists of those below one node of height 2, or less where there are no more."""
+    feature, cut, left, right, value, weight = (a.tolist() for a in tree)
+    blocks: list[list] = []
 
     def walk(node, cover, path):
-        if node.subtreeDepth() == 0:
-            merged: dict[int, list[float]] = {}
-            for f, low, high, share in path:
-                old = merged.setdefault(f, [-math.inf, math.inf, 1.0])
-                merged[f] = [max(old[0], low), min(old[1], high), old[2] * share]
-            yield float(node.prediction()), cover, [(f, *v) for f, v in merged.items()]
-            return
-        f, cut, total = node.split().featureIndex(), float(node.split().threshold()), weight(node)
-        for child, low, high in ((node.leftChild(), -math.inf, cut), (node.rightChild(), cut, math.inf)):
-            share = weight(child) / total if total else 0.5
-            yield from walk(child, cover * share, [*path, (f, low, high, share)])
-
-    return walk(top, 1.0, [])
+        """The leaves below, and the height."""
+        if feature[node] < 0:
+            return [(value[node], cover, path)], 0
+        below = []
+        for child, goes in ((left[node], False), (right[node], True)):
+            share = weight[child] / weight[node] if weight[node] else 0.5
+            below.append(walk(child, cover * share, [*path, (feature[node], cut[node], goes, share)]))
+        height = max(h for _, h in below) + 1
+        if height <= 2:
+            return below[0][0] + below[1][0], height
+        blocks.extend(leaves for leaves, h in below if h <= 2)
+        return [], height
+
+    leaves, height = walk(0, 1.0, [])
+    return [*blocks, leaves] if height <= 2 else blocks
 
 
 def shap_values(features: DataFrame, artifacts: Artifacts) -> DataFrame:
     """account, shap (array in feature order), base, margin of every row: the sum of shap and base is the margin of the vector that the model sees."""
     paths = TreePaths.of(artifacts.supervised)
-    shared = features.sparkSession.sparkContext.broadcast(paths)  # leaves of the model
+    shared = features.sparkSession.sparkContext.broadcast((paths, artifacts.supervised))  # some 40 MB for 300 trees of depth 6
 
-    @F.pandas_udf("array<double>")
-    def values(x: pd.Series) -> pd.Series:
-        return pd.Series(list(shared.value.values(np.array(x.tolist()).reshape(len(x), -1))))
+    @F.pandas_udf("shap array<double>, margin double")
+    def values(x: pd.Series) -> pd.DataFrame:
+        leaves, model = shared.value
+        rows = np.array(x.tolist()).reshape(len(x), -1) if len(x) else np.zeros((0, 0))
+        return pd.DataFrame({"shap": list(leaves.values(rows)) if len(x) else [], "margin": model.margins(rows)})
 
-    rows = artifacts.supervised.transform(prepared(features, artifacts))
-    # rawPrediction of the boosted classifier is (-2 margin, 2 margin) / 2 by its convention: its second entry is the margin.
-    return rows.select("account", values(vector_to_array("x")).alias("shap"), F.lit(paths.base).alias("base"), vector_to_array("rawPrediction")[1].alias("margin"))
+    rows = prepared(features, artifacts).select("account", values(vector_to_array("x")).alias("_v"))
+    return rows.select("account", "_v.shap", F.lit(paths.base).alias("base"), "_v.margin")
 
 
 def explain_shap(features: DataFrame, artifacts: Artifacts, accounts: DataFrame | str | None = None, top_k: int = 7) -> DataFrame:
