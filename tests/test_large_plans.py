@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import risk
+from ledgerflow.operators import evaluate
 
 
 def test_safe_quantile_beyond_one_task(spark):
@@ -13,3 +14,14 @@ def test_safe_quantile_beyond_one_task(spark):
     large = risk.safe_quantile(spark.range(5000).select(F.col("id").cast("double").alias("v")), "v", 0.9, one_task_rows=1000)
     assert large.first()[0] == pytest.approx(4499.1)
     assert "percentile" not in large._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_are_joined_once(spark):
+    """Confusion, ROC and precision come from one written join, and the last two from one set of running sums."""
+    scored = spark.createDataFrame([(f"A{k}", k / 10) for k in range(10)], "account string, risk_score double")
+    labels = spark.createDataFrame([(f"A{k}", int(k in (3, 8, 9))) for k in range(10)], "account string, label int")
+    m = evaluate.evaluate(scored, labels)
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert "account" not in plan and plan.count("Window") <= 4
+    row, whole = m.first(), evaluate.matched(scored, labels)
+    assert row["roc_auc"] == evaluate.roc_auc(whole).first()[0] and row["pr_auc"] == evaluate.average_precision(whole).first()[0]
